@@ -29,7 +29,7 @@ COMMON = {
 #: A verdict needs so many characters for classes and so many words for common words.
 LEAST_CHARS, LEAST_FOR_WORDS = 200, 100
 #: Jensen-Shannon distances (base 2, 0 to 1) above which a document is unlike its language.
-FAR_CLASSES, FAR_WORDS = 0.45, 0.75
+FAR_CLASSES, FAR_WORDS = 0.3, 0.33
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, privacy, quality, secrets, simhash
+from . import packing, privacy, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_privacy": privacy.query,
         "op4_packing": packing.query,
+        "op5_toxicity": toxicity.query,
         "op7_secrets": secrets.query,
         "op8_simhash": simhash.query,
         "op9_quality": quality.query,
