@@ -12,7 +12,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ END = 0
 #: A block is packed when its rests are so many pieces, or the ids held so many.
 BLOCK_PIECES, BLOCK_IDS = 20_000, 12_000_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_ARROW = pa.schema([*[(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")[:-1]], ("ids", pa.binary())])
 
 
 class Capacities:
@@ -114,7 +115,7 @@ class _Block:
         self.docs: list[tuple[object, np.ndarray]] = []
         self.held = 0
 
-    def rows(self, first: int, window: int) -> tuple[pd.DataFrame, int]:
+    def rows(self, first: int, window: int) -> tuple[pa.Table, int]:
         sizes = np.array([len(x) for _, x in self.docs], np.int64)
         rests = sizes % window
         some = np.nonzero(rests)[0]
@@ -129,7 +130,7 @@ class _Block:
             if full < len(ids):
                 b, o = where[k]
                 out.append((doc, full, len(ids) - full, len(ids), first + b, o, ids[full:].tobytes()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"}), first + n
+        return pa.table(list(map(list, zip(*out, strict=True))), schema=_ARROW), first + n
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -143,23 +144,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
     """
     small_batches(docs.sparkSession, 64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, block = encoder(tokenizer), _Block()
         first = TaskContext.get().partitionId() << 36
-        for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"], encode(pdf["text"]), strict=True):
+        for batch in batches:
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"].to_pylist()), strict=True):
                 ids.append(end)
-                block.docs.append((None if pd.isna(doc) else int(doc), np.array(ids, "<u4")))
+                block.docs.append((doc, np.array(ids, "<u4")))
                 block.held += len(ids)
             if len(block.docs) >= BLOCK_PIECES or block.held >= BLOCK_IDS:
                 rows, first = block.rows(first, window)
-                yield from (rows[i : i + 2000] for i in range(0, len(rows), 2000))
+                yield from rows.to_batches(2000)
                 block = _Block()
         if block.docs:
             rows, first = block.rows(first, window)
-            yield from (rows[i : i + 2000] for i in range(0, len(rows), 2000))
+            yield from rows.to_batches(2000)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, privacy, quality, secrets, simhash, toxicity
+from . import lm, packing, privacy, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_privacy": privacy.query,
         "op4_packing": packing.query,
         "op5_toxicity": toxicity.query,
+        "op6_lm": lm.query,
         "op7_secrets": secrets.query,
         "op8_simhash": simhash.query,
         "op9_quality": quality.query,
