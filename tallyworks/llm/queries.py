@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, packing, privacy, quality, secrets, simhash, toxicity
+from . import html, lm, packing, privacy, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_privacy": privacy.query,
+        "op10_html": html.query,
         "op4_packing": packing.query,
         "op5_toxicity": toxicity.query,
         "op6_lm": lm.query,
