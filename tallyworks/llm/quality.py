@@ -9,6 +9,8 @@ Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from .common import SPACE, keep, table, text_of
 #: Base rules: least words, most percent of words in repeated windows, window length.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
-#: Character classes as Java sets; the last class is every other character.
-CLASSES = [r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\s", r"[.,;:!?'\"()-]", r"[#*$%&|<>=_{}\[\]\\/@^~`+]"]
+#: Character classes as Java sets; white space is a class too, and the last is every other character: small letters mostly.
+CLASSES = [r"\p{Lu}++", r"\p{Nd}++", r"[.,;:!?'\"()-]++", r"[#*$%&|<>=_{}\[\]\\/@^~`+]++"]
 # Common function words, by language.
 COMMON = {
     "en": ["the", "and", "of", "to", "a", "in", "is", "that", "it", "was", "for", "with", "as", "be", "on", "this", "are", "by", "at", "from"],
@@ -32,50 +34,52 @@ LEAST_CHARS, LEAST_FOR_WORDS = 200, 100
 FAR_CLASSES, FAR_WORDS = 0.3, 0.33
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of ``window`` words that occur twice or more in the text, every occurrence included."""
-    n = F.size(words)
-    starts = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
-    hashed = F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i, window)).alias("h"), i.alias("i"))))
-    return F.when(n >= window + 1, _covered(hashed, window)).otherwise(F.lit(0)).cast("long")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _covered(hashed: Column, window: int) -> Column:
-    """From sorted (hash, start) of windows: how many words the windows of repeated hashes cover."""
-    size = F.size(hashed)
-    neighbours = F.zip_with(
-        hashed,
-        F.concat(F.array(F.lit(None).cast("long")), F.transform(F.slice(hashed, 1, F.greatest(size - 1, F.lit(0))), lambda x: x["h"])),
-        lambda x, b: F.struct(x["h"].alias("h"), x["i"].alias("i"), b.alias("b")),
-    )
-    both = F.zip_with(
-        neighbours,
-        F.transform(F.slice(hashed, 2, F.greatest(size - 1, F.lit(0))), lambda x: x["h"]),
-        lambda x, a: F.struct(x["i"].alias("i"), (F.coalesce(x["h"] == x["b"], F.lit(False)) | F.coalesce(x["h"] == a, F.lit(False))).alias("twice")),
-    )
-    at = F.array_sort(F.transform(F.filter(both, lambda x: x["twice"]), lambda x: x["i"]))
-    return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(window), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+def _covered(ordered: Column, window: int) -> Column:
+    """Words that windows of repeated hashes cover, from sorted (hash, place) structs of all windows."""
+    n = F.size(ordered)
+    hashes = F.transform(ordered, lambda x: x["h"])
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(hashes, 1, n - 1))
+    after = F.slice(hashes, 2, n - 1)
+    twice = F.zip_with(F.zip_with(ordered, before, lambda x, b: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.coalesce(x["h"] == b, F.lit(False)).alias("b"))), after, lambda x, a: F.when(x["b"] | F.coalesce(x["h"] == a, F.lit(False)), x["i"]))
+    places = F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
+    return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(window), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+
+
+def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
+    """Words inside windows that occur twice or more in a text, every occurrence included, from the hashes of its windows in order."""
+    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _bound(ordered, lambda o: _covered(o, window))).otherwise(F.lit(0)).cast("long")
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """The base counts and the two histograms of every row."""
     text = text_of(docs)
-    words = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), F.filter(F.split(text, SPACE + "++"), lambda w: w != "").alias("words"))
-    lines = words.select("*", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]")).alias("lines"))
-    folded = F.transform("words", lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]++|[^\p{L}]++$", ""))
-    full = F.length("text").cast("long")
-    others = [(full - F.length(F.regexp_replace("text", c, ""))).cast("double") for c in CLASSES]
-    common = F.filter(folded, lambda w: w.isin(sorted({w for ws in COMMON.values() for w in ws})))
-    return lines.select(
-        "doc_id", "lang",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (full - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+    blank = " \t\n\x0b\x0c\r"
+    bare = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("text"), F.btrim(text, F.lit(blank)).alias("bare"))
+    words = bare.select("doc_id", "lang", "text", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", SPACE + "++")).alias("words"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
+    n = F.size("words")
+    window = lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(WINDOW)])
+    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<long>"))
+    common = sorted({w for ws in COMMON.values() for w in ws})
+    without = lambda c: F.length(F.regexp_replace("text", c, ""))
+    cut = words.select(
+        "doc_id", "lang", n.cast("long").alias("n_words"), F.length("text").cast("long").alias("chars"), without(SPACE + "++").cast("long").alias("word_chars"),
+        without(f"[{SYMBOLS}]++").alias("plain"), F.array(*map(without, CLASSES)).alias("rests"), lines.alias("lines"), hashes.alias("hashes"), F.filter("words", lambda w: w.isin(common)).alias("common"),
+    )
+    return cut.select(
+        "doc_id", "lang", "n_words", "word_chars",
+        (F.col("chars") - F.col("plain")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        full.alias("chars"),
-        F.array(*others).alias("classes"),
-        common.alias("common"),
+        repeated_words(F.col("hashes")).alias("n_repeat_words"),
+        "chars",
+        F.concat(F.transform("rests", lambda r: (F.col("chars") - r).cast("double")), F.array((F.col("chars") - F.col("word_chars")).cast("double"))).alias("classes"),
+        "common",
     )
 
 
@@ -108,7 +112,7 @@ def _references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]
     """Mean histograms of each language of COMMON, and of all others as ''; at most one row each comes to the driver."""
     group = F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise(F.lit(""))
     good = measured.where(~F.col("base_failed"))
-    n = {"class_shares": len(CLASSES) + 1, "word_shares": len(next(iter(COMMON.values()))) + 1}
+    n = {"class_shares": len(CLASSES) + 2, "word_shares": len(next(iter(COMMON.values()))) + 1}
     means = [F.avg(F.when(F.col(guard) >= least, F.element_at(c, i + 1))).alias(f"{c}{i}") for c, guard, least in (("class_shares", "chars", LEAST_CHARS), ("word_shares", "n_words", LEAST_FOR_WORDS)) for i in range(n[c])]
     out = {}
     for r in good.groupBy(group.alias("g")).agg(*means).collect():
