@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, table, text_of
-from .spans import matches, of_kind, tagged, written
+from .spans import Form, find, of_kind, tagged, written
 
 # The kinds in order and the patterns of the base entities. Possessive loops
 # and starts at a run's beginning change nothing in the matches, but bound the work.
@@ -64,17 +64,18 @@ def context(piece: Column) -> Column:
 
 def findings(docs: DataFrame) -> DataFrame:
     """A durable table of docs' rows: row, doc_id, base (s, k, e), seeds (k, c, v), tokens (s, e, c, v)."""
-    text = text_of(docs)
     seen = lambda p, m: {"c": context(p), "v": F.lower(m)}
-    found = docs.select(
-        "doc_id",
-        matches(text, EMAIL, lambda m: F.lit(True), seen).alias("k0"),
-        matches(text, IP, lambda m: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), seen).alias("k1"),
-        matches(text, CARD, _card, seen).alias("k2"),
-        matches(text, PHONE, _phone, seen).alias("k3"),
-        matches(text, CANDIDATE, lambda m: (F.length(_digits(m)) >= DIGITS) | m.rlike("[^@]@[^@]"), seen).alias("c"),
-    )
-    base = F.array_sort(F.concat(*[tagged(F.col(f"k{i}"), i) for i in range(4)]))
+    digit = lambda t: t.rlike("[0-9]")
+    at = lambda t: F.contains(t, F.lit("@"))
+    forms = {
+        "k0": Form(EMAIL, lambda m: F.lit(True), at, seen),
+        "k1": Form(IP, lambda m: m.rlike(rf"^{PART}(?:\.{PART}){{3}}$"), lambda t: t.rlike("[0-9][.][0-9]"), seen),
+        "k2": Form(CARD, _card, digit, seen),
+        "k3": Form(PHONE, _phone, lambda t: F.contains(t, F.lit("+")), seen),
+        "c": Form(CANDIDATE, lambda m: (F.length(_digits(m)) >= DIGITS) | m.rlike("[^@]@[^@]"), lambda t: digit(t) | at(t), seen),
+    }
+    found = find(docs.select("doc_id", text_of(docs).alias("text")), "text", forms)
+    base = F.sort_array(F.concat(*[tagged(F.col(f"k{i}"), i) for i in range(4)]))
     seed = lambda i: lambda x: F.struct(F.lit(i).alias("k"), x["c"].alias("c"), x["v"].alias("v"))
     seeds = F.concat(*[F.transform(f"k{i}", seed(i)) for i in range(4)])
     based = found.select("doc_id", base.alias("base"), F.filter(seeds, lambda x: x["c"].isNotNull()).alias("seeds"), "c")
@@ -114,7 +115,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     added = places.join(new, ["c", "v"]).groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("more"))
     joined = found.join(added, "row", "left")
     none = F.slice("base", 1, 0)
-    return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    return joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

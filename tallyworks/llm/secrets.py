@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, table, text_of
-from .spans import matches, of_kind, tagged, written
+from .spans import Form, find, of_kind, tagged, written
 
 # The kinds in order and the patterns of the base forms.
 KINDS = ["assign", "access", "hex", "random"]
@@ -67,15 +67,14 @@ def battery(token: Column) -> Column:
 
 def findings(docs: DataFrame) -> DataFrame:
     """docs' doc_id and row with base: sorted (s, k, e), and tokens: (s, e, t) with the battery's struct t. A durable table."""
-    text = text_of(docs)
-    found = docs.select(
-        F.col("doc_id"),
-        matches(text, ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12).alias("a"),
-        matches(text, ACCESS, lambda m: F.length(m) >= 18).alias("k"),
-        matches(text, HEX, lambda m: F.length(m) >= 16).alias("h"),
-        matches(text, CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), lambda p, m: {"m": m}).alias("c"),
-    )
-    based = found.select("doc_id", F.array_sort(F.concat(tagged(F.col("a"), 0), tagged(F.col("k"), 1), tagged(F.col("h"), 2))).alias("base"), "c")
+    forms = {
+        "a": Form(ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, lambda t: t.rlike("[:=]")),
+        "k": Form(ACCESS, lambda m: F.length(m) >= 18, lambda t: F.contains(t, F.lit("AKIA"))),
+        "h": Form(HEX, lambda m: F.length(m) >= 16),
+        "c": Form(CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), lambda t: t.rlike("[0-9]"), lambda p, m: {"m": m}),
+    }
+    found = find(docs.select("doc_id", text_of(docs).alias("text")), "text", forms)
+    based = found.select("doc_id", F.sort_array(F.concat(tagged(F.col("a"), 0), tagged(F.col("k"), 1), tagged(F.col("h"), 2))).alias("base"), "c")
     free = F.filter("c", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     return keep(based.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("t"))).alias("tokens")), "secrets")
 
@@ -101,7 +100,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     least = cuts(found)
     level = lambda t: F.coalesce(*[F.when(t["band"] == b, F.lit(q)) for b, q in sorted(least.items())], F.lit(MOST + 1))
     added = F.filter("tokens", lambda x: x["t"]["random"] & (x["t"]["q"] >= level(x["t"])))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", tagged(added, 3))).alias("spans"))
+    return found.select("doc_id", "base", F.sort_array(F.concat("base", tagged(added, 3))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
