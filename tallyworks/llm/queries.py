@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, lm, packing, passages, privacy, quality, secrets, simhash, toxicity
+from . import contamination, html, lm, packing, passages, privacy, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_privacy": privacy.query,
         "op10_html": html.query,
+        "op2_contamination": contamination.query,
         "op3_passages": passages.query,
         "op4_packing": packing.query,
         "op5_toxicity": toxicity.query,
