@@ -318,16 +318,20 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(own) > 5000:
             yield _rows(own, salt)
             own = {}
-    yield _rows(own, salt)
+    if own:
+        yield _rows(own, salt)
 
 
 def _rows(own: dict[str, Node], salt: int) -> pd.DataFrame:
-    return pd.DataFrame({"host": list(own), "salt": salt, "wrapper": [json.dumps(w.state()) for w in own.values()]})
+    # plain objects: strings that pandas keeps in Arrow chunks are not taken back
+    strings = lambda x: pd.Series(list(x), dtype=object)
+    return pd.DataFrame({"host": strings(own), "salt": salt, "wrapper": strings(json.dumps(w.state()) for w in own.values())})
 
 
 def _merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     w = infer(load(json.loads(s)) for pdf in batches for s in pdf["wrapper"])
-    yield pd.DataFrame({"host": [key[0]], "salt": 0, "wrapper": [json.dumps(w.state())]})
+    if w:
+        yield _rows({key[0]: w}, 0)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
         for t in pdf["text"]:
             seen.update({f for w in _words(t) for f in features(w)})
-        yield pd.DataFrame({"f": list(seen), "n": list(seen.values())})
+        yield pd.DataFrame({"f": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
 
 def learn(docs: DataFrame, labels: DataFrame, excluded: Column | None = None) -> Model:
