@@ -65,18 +65,35 @@ def battery(token: Column) -> Column:
     return F.struct(band.alias("band"), _p10(z).alias("q"), ((chi <= BOUND) & (F.abs(correlation) <= BOUND)).alias("random"))
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and row with base: sorted (s, k, e), and tokens: (s, e, t) with the battery's struct t. A durable table."""
+def _searched(rows: DataFrame) -> DataFrame:
+    """rows' columns but text, with base: sorted (s, k, e), and tokens: (s, e, t), t the battery's struct."""
     forms = {
-        "a": Form(ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, lambda t: t.rlike("[:=]")),
-        "k": Form(ACCESS, lambda m: F.length(m) >= 18, lambda t: F.contains(t, F.lit("AKIA"))),
-        "h": Form(HEX, lambda m: F.length(m) >= 16),
-        "c": Form(CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), lambda t: t.rlike("[0-9]"), lambda p, m: {"m": m}),
+        "a__f": Form(ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, lambda t: t.rlike("[:=]")),
+        "k__f": Form(ACCESS, lambda m: F.length(m) >= 18, lambda t: F.contains(t, F.lit("AKIA"))),
+        "h__f": Form(HEX, lambda m: F.length(m) >= 16),
+        "c__f": Form(CANDIDATE, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), lambda t: t.rlike("[0-9]"), lambda p, m: {"m": m}),
     }
-    found = find(docs.select("doc_id", text_of(docs).alias("text")), "text", forms)
-    based = found.select("doc_id", F.sort_array(F.concat(tagged(F.col("a"), 0), tagged(F.col("k"), 1), tagged(F.col("h"), 2))).alias("base"), "c")
-    free = F.filter("c", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return keep(based.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("t"))).alias("tokens")), "secrets")
+    kept = [c for c in rows.columns if c != "text"]
+    based = find(rows, "text", forms).select(*kept, F.sort_array(F.concat(*[tagged(F.col(f), i) for i, f in enumerate(("a__f", "k__f", "h__f"))])).alias("base"), "c__f")
+    free = F.filter("c__f", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return based.select(*kept, "base", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["m"]).alias("t"))).alias("tokens"))
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """A durable table of docs' doc_id with base and tokens, a row for each row."""
+    return keep(_searched(docs.select("doc_id", text_of(docs).alias("text"))), "secrets")
+
+
+def _added(least: dict[int, int]) -> Column:
+    """The tokens that the cuts accept, as spans of the last kind."""
+    level = lambda t: F.coalesce(*[F.when(t["band"] == b, F.lit(q)) for b, q in sorted(least.items())], F.lit(MOST + 1))
+    return tagged(F.filter("tokens", lambda x: x["t"]["random"] & (x["t"]["q"] >= level(x["t"]))), 3)
+
+
+def _located(rows: DataFrame, least: dict[int, int]) -> DataFrame:
+    """rows' columns but text, with base and spans."""
+    found = _searched(rows)
+    return found.select(*[c for c in found.columns if c != "tokens"], F.sort_array(F.concat("base", _added(least))).alias("spans"))
 
 
 def cuts(found: DataFrame) -> dict[int, int]:
@@ -97,10 +114,36 @@ def secrets(docs: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     found = findings(docs)
-    least = cuts(found)
-    level = lambda t: F.coalesce(*[F.when(t["band"] == b, F.lit(q)) for b, q in sorted(least.items())], F.lit(MOST + 1))
-    added = F.filter("tokens", lambda x: x["t"]["random"] & (x["t"]["q"] >= level(x["t"])))
-    return found.select("doc_id", "base", F.sort_array(F.concat("base", tagged(added, 3))).alias("spans"))
+    return found.select("doc_id", "base", F.sort_array(F.concat("base", _added(cuts(found)))).alias("spans"))
+
+
+MASK = "[SECRET]"
+
+
+def _mask(text: Column, spans: Column) -> Column:
+    """The text with each union of overlapping spans replaced by MASK."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["s"] >= acc["at"]
+        more = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, more).otherwise(acc["parts"]).alias("parts"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with its columns, every secret of text replaced by MASK and n_chars, if there is one, the new text's length.
+
+    Texts without secrets, null ones too, and their n_chars stay as they are. docs is read
+    twice, so it must give the same rows both times, as a table does.
+    """
+    least = cuts(findings(docs))
+    spans = _located(docs.select(F.struct("*").alias("row"), text_of(docs).alias("text")), least)
+    changed = F.size("spans") > 0
+    new = F.when(changed, _mask(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    fields = {"text": new} | ({"n_chars": F.when(changed, F.length(new)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return spans.select(*[fields[c].alias(c) if c in fields else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
