@@ -7,6 +7,7 @@ works on words in Python therefore works on UTF-8 bytes.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,4 +49,17 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, computed once."""
     path = f"{shared_dir(df.sparkSession)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def done_with(*kept: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more, and let Spark's cleaner have the shuffles of finished jobs."""
+    jvm = kept[0].sparkSession.sparkContext._jvm
+    conf = kept[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for df in kept:
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
