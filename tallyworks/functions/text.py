@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s ﻿]"
+BLANK = r"[\s\u00a0\ufeff]"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 #: 4 to 7 digits, perhaps with a suffix that starts with a letter, or 3 digits with one.
 NUMBER = r"(?:[0-9]{4,7}(?:[A-Za-z][A-Za-z0-9]*)?|[0-9]{3}[A-Za-z][A-Za-z0-9]*)"
