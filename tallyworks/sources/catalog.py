@@ -23,7 +23,7 @@ def build(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     elements of a part and colour are distinct, in file order; the first relation of a pair
     of parts wins, A and M hold both ways, P from child to parent.
     """
-    ordered = lambda name, cols: bulk(spark, f"{folder}/{name}.csv.gz", cols).withColumn("o", F.monotonically_increasing_id())
+    ordered = lambda name, cols: bulk(spark, f"{folder}/{name}.csv.gz", cols)
     colors = ordered("colors", ["id", "name", "rgb"]).dropna(subset=["id", "name"])
     color = relational.last_known(colors, ["id"], ["name", "rgb"], "o")
     parts = ordered("parts", ["part_num", "name"]).withColumn("part_num", T.part_number(F.col("part_num"))).dropna(subset=["part_num"])

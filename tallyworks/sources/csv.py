@@ -53,12 +53,11 @@ def places(header: list[str]) -> dict[str, int]:
 def inventory(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
     """(items, warnings) of inventory files: items(file, line, part, color, quantity, spare), warnings(file, line, message).
 
-    A file without a part, colour or quantity column gives a warning and no rows; so does
-    an empty one. Blank rows are skipped, rows without a part, colour or positive quantity
+    A file without a part, colour or quantity column gives a warning and no rows, and so
+    does one without rows; one of no bytes is not seen. Blank rows are skipped, rows without a part, colour or positive quantity
     with a warning. Files are small and read whole, one a row, in parallel.
     """
-    # as binary files: the text reader leaves out empty ones
-    raw = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("content").cast("string").alias("value"))
+    raw = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,7 +81,7 @@ def inventory(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bulk(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Columns of a (compressed) bulk file, as strings, blank values as null; a .gz file is one task, so it is dealt out again."""
+    """Columns of a (compressed) bulk file, as strings, blank values as null, with the file's order o; a .gz file is one task, so it is dealt out again."""
     df = spark.read.csv(path, header=True, multiLine=False, quote='"', escape='"')
     there = {c.strip(): c for c in df.columns}
-    return df.select(*[(T.blank_as_null(F.col(f"`{there[c]}`")) if c in there else F.lit(None).cast("string")).alias(c) for c in columns]).repartition(spark.sparkContext.defaultParallelism)
+    return df.select(*[(T.blank_as_null(F.col(f"`{there[c]}`")) if c in there else F.lit(None).cast("string")).alias(c) for c in columns], F.monotonically_increasing_id().alias("o")).repartition(spark.sparkContext.defaultParallelism)

@@ -20,7 +20,7 @@ def test_cells_keep_quotes_line_ends_and_blank_rows_inside():
 def test_inventory(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿Part,Color,Quantity,Is Spare\n3001,5,4,True\n\n3002 ,,2,False\n3003,1,4x,no\n3004,1,0,\n")
     (tmp_path / "b.csv").write_text("Name,Color\nx,1\n")
-    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "c.csv").write_text("part,color,qty\n")
     items, warnings = csv.inventory(spark, f"file://{tmp_path}/*.csv")
     assert [(r.line, r.part, r.color, r.quantity, r.spare) for r in items.orderBy("line").collect()] == [(2, "3001", "5", 4, True), (5, "3003", "1", 4, False)]
     assert sorted((r.file[-5:], r.line) for r in warnings.collect()) == [("a.csv", 4), ("a.csv", 6), ("b.csv", 0), ("c.csv", 0)]
