@@ -32,7 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tallyworks.plans import flagship
+
+    return _SQL | {"part_rows": flagship.PART_ROWS_SQL}
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
