@@ -1,14 +1,7 @@
 import random
 
 import pytest
-
-SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
-COMMON = ["the", "and", "of", "to", "a", "in", "is", "that", "it", "was"]
-
-
-def prose(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(COMMON) if rng.random() < 0.35 else "".join(rng.choices(SYLLABLES, k=rng.randint(2, 5))) for _ in range(n))
-
+from brute import prose
 
 @pytest.fixture(scope="session")
 def rng():

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from conftest import prose  # noqa: F401  tests/llm/conftest.py
+from brute import prose
 
 from tallyworks.llm import contamination, html, toxicity
 
