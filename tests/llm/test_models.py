@@ -48,6 +48,37 @@ def test_benchmark_items_and_paraphrases_are_found(spark, docs, texts, rng, empt
     assert contamination.contaminated(more, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_thousands_of_items_are_found_as_by_brute_force(spark):
+    r = random.Random(8)
+    # words as frequent as in real texts: rank by rank rarer
+    known = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: r.choices(known, [1 / (5 + i) for i in range(3000)], k=n)
+    items = [text(r.randint(15, 59)) for _ in range(2000)]
+    hosts = [text(300) for _ in range(250)]
+    planted = set()
+    for k, item in enumerate(items):
+        w = list(item)
+        for j in r.sample(range(len(w)), len(w) // 5 if k % 2 else 0):
+            w[j] = "".join(r.choices("abcdefgh", k=9))
+        d = k % len(hosts)
+        hosts[d] += [*w, *text(40)]
+        planted.add((d, k))
+    expected = set()
+    sets = [set(w) for w in items]
+    for d, host in enumerate(hosts):
+        there = set(host)
+        for k, item in enumerate(items):
+            # as many of its words at least as a common subsequence would have
+            if len(sets[k] & there) >= 0.3 * len(sets[k]) and sum(w in there for w in item) >= 0.6 * len(item):
+                if contamination.subsequence(item, host) >= 0.6 * len(item):
+                    expected.add((d, k))
+    assert planted <= expected
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(hosts)], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in contamination.contaminated(docs, table).collect()}
+    assert found <= expected and len(planted - found) <= 0.02 * len(planted), len(planted - found)
+
+
 def test_common_subsequence_against_tables():
     r = random.Random(4)
     for _ in range(50):
