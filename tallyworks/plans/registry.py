@@ -273,6 +273,14 @@ def point_in_box(spark, sf_dir):
     return geometry.points_in_boxes(p, b, ["g"], 5.0, 8.0).select("box", "event_id", "g")
 
 
+@query()
+def point_in_box_whole(spark, sf_dir):
+    """point_in_box with every lineitem row as a box; no SQL, as DuckDB would compare all pairs of a group."""
+    p = t(spark, sf_dir, "events").select("event_id", F.pmod("user_id", F.lit(7)).alias("g"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    b = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("box"), F.col("l_linenumber").alias("line"), F.pmod("l_orderkey", F.lit(7)).alias("g"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), (F.col("l_partkey") % 90).cast("double").alias("y0"), (F.col("l_partkey") % 90 + 8).cast("double").alias("y1"))
+    return geometry.points_in_boxes(p, b, ["g"], 5.0, 8.0).select("box", "line", "event_id", "g")
+
+
 @query("""
 WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 d AS (SELECT a.label, a.vec_id AS q, b.vec_id AS p, round(0.7::DOUBLE * abs(a.x - b.x) + abs(a.y - b.y), 9) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
