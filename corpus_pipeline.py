@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import contamination, packing, secrets, simhash, toxicity
-from tallyworks.llm.common import columns, keep, table
+from tallyworks.llm.common import columns, keep, small_batches, table, text_of
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -26,14 +26,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; of its equal rows, one."""
-    groups = keep(simhash.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    kept = _without(docs, groups.where("doc_id <> component_id"))
-    repeated = keep(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*columns(docs)).dropDuplicates(["doc_id", "text"])
-    return _without(kept, repeated).unionByName(once)
+    """Of each group of near-duplicates one row stays, one of those with the smallest doc_id; rows without an id stay only where no row of the group has one."""
+    small_batches(spark)
+    # written, so that a row keeps its number
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", simhash.fingerprint_of(text_of(docs)).alias("fp"), F.struct(*columns(docs)).alias("d")), "rows")
+    roots = simhash.names(rows.select("doc_id", "fp")).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    kept = rows.select("doc_id", "row", "fp").join(roots, "fp").groupBy("root").agg(first.alias("w")).select(F.col("w.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("d.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

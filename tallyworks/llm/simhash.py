@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches, table, text_of
@@ -55,14 +55,19 @@ def simhash(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; one row for each row of docs."""
+def fingerprint_of(text: Column, words: int = 4) -> Column:
+    """The fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp(text_of(docs).cast("binary")).alias("fp"))
+    return fp(text.cast("binary"))
+
+
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, fp), one row for each row of docs."""
+    return docs.select("doc_id", fingerprint_of(text_of(docs), words).alias("fp"))
 
 
 def masks(radius: int) -> list[int]:
@@ -197,6 +202,20 @@ def links(distinct: DataFrame, radius: int = 4, most: int = SHARD) -> DataFrame:
     return found.select("a", "b")
 
 
+def names(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, root, component_id) for each distinct fp of fps(doc_id, fp): root is one fingerprint of the group, component_id its smallest doc_id.
+
+    Two groups may have the same component_id, where a doc_id has several texts; their roots differ.
+    """
+    distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    # sorted rows of two longs may come in larger batches than texts
+    joined = components(links(distinct, radius))
+    grouped = keep(joined.join(distinct, joined["node"] == distinct["fp"]).select("root", "fp", "first"), "grouped")
+    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = grouped.join(lowest, "root").select("fp", "root", "component_id")
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text).
 
@@ -208,14 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """
     small_batches(docs.sparkSession)
     fps = keep(fingerprints(docs, words), "fingerprints")
-    distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    # sorted rows of two longs may come in larger batches than texts
-    joined = components(links(distinct, radius))
-    grouped = keep(joined.join(distinct, joined["node"] == distinct["fp"]).select("root", "fp", "first"), "grouped")
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(lowest, "root").select("fp", "component_id")
-    names = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(names(fps, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from brute import prose
 
-from tallyworks.llm import contamination, html, toxicity
+from tallyworks.llm import contamination, html, simhash, toxicity
 
 
 def test_toxicity_learns_marked_words(spark, rng, empty):
@@ -139,3 +139,13 @@ def test_pipeline(spark, docs, texts, tmp_path):
     assert clean.columns == table.columns and {r.doc_id for r in table.select("doc_id").collect()} - {r.doc_id for r in clean.select("doc_id").collect()} == ({20} if len(texts[20].split()) >= 40 else {68})
     packed = corpus_pipeline.run(spark, data)
     assert {r.doc_id for r in packed.select("doc_id").collect()} <= set(ids)
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    r = random.Random(12)
+    a, b, c = (prose(r, n) for n in (120, 120, 600))
+    near = next(t for w in [c.split()] for k in range(600) if 0 < (simhash.simhash((t := " ".join([*w[:k], "other", *w[k + 1 :]])).encode()) ^ simhash.simhash(c.encode())).bit_count() <= 4)
+    rows = [(2, b), (5, a), (5, b), (7, c), (7, near), (None, a), (9, a), (None, prose(r, 90))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert len(got) == 4 and {(2, b), (5, a), rows[-1]} <= set(got) and [i for i, _ in got].count(7) == 1
