@@ -29,6 +29,8 @@ from .common import keep, small_batches, table
 # Element names by role, and the words of classes and ids that mark what is no article.
 BLOCKS = frozenset("html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside form fieldset blockquote pre figure figcaption address hr details summary center menu dialog hgroup search".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object select textarea button title video audio head map".split())
+#: Of these, the ones whose text is no markup: without an end tag they run to the end of the page.
+RAW_TEXT = frozenset("script style title iframe textarea".split())
 DROPPED = frozenset("nav footer aside form menu dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
@@ -100,7 +102,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     end = re.compile(r"<body\b", re.I).search(page, at)
                     at = end.start() if end else at
                 else:
-                    at = end.end() if end else size
+                    at = end.end() if end else size if tag in RAW_TEXT else at
             continue
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")

@@ -119,6 +119,13 @@ def test_wrappers_collapse_repeats_and_find_optional_parts():
     assert all(k.rep for k in body.kids[0].kids) and body.kids[1].n == 1 and body.kids[0].n == 3
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "canvas", "map", "video", "audio"])
+def test_an_element_without_its_end_tag_hides_no_text(tag):
+    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    assert texts(f"<body><p>one</p><{tag} class=x><p>two</p></body>") == ["one", "two"]
+    assert texts(f"<body><p>one</p><{tag}>gone</{tag}><p>two</p><script>three") == ["one", "two"]
+
+
 def test_pages_of_an_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
