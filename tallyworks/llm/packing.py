@@ -8,8 +8,9 @@ capacity finds. No shuffle, no state beyond a block, and a lost task repeats alo
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
+import json
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,34 +77,49 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return bins, offsets, n
 
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, Callable[[list[str]], list[list[int]]]] = {}
 
 
-def encoder(path: str):
-    """texts -> lists of ids by the vocabulary at path, loaded once a worker.
+def _byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is a plain byte-level BPE: no normalizer, text split by the usual pattern, special tokens cut out as they are, ids in order of merges."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    special = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec["added_tokens"])
+    ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]] if plain else []
+    return plain and split and special and not spec["normalizer"] and ids == sorted(ids)
 
-    A byte-level BPE's .json and .tiktoken files hold one vocabulary; the latter is read
-    where it lies beside the former, as its splitter is several times faster and gives
-    the same ids. Strings of special tokens are ordinary text.
+
+def _merges(vocab: dict[str, int]) -> dict[bytes, int]:
+    """Bytes of each token: printable Latin-1 characters stand for their own byte, the next ones from 256 on for the other bytes in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items()}
+
+
+def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """texts -> lists of ids by the tokenizer file at path, without added special tokens, loaded once a worker.
+
+    The ids are those of the ``tokenizers`` library; strings of special tokens in a text get
+    the special token's id, as there. A plain byte-level BPE file is run by a faster library
+    of the same merges.
     """
     if path not in _ENCODERS:
-        import os
-
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if os.path.basename(path).startswith("byte_bpe") and os.path.exists(ranks):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if _byte_level(spec):
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as f:
-                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-            _ENCODERS[path] = lambda texts: [bpe.encode_ordinary(t) for t in texts]
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            merges = {k: v for k, v in _merges({k: v for k, v in spec["model"]["vocab"].items() if k not in special}).items()}
+            bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
+            _ENCODERS[path] = lambda texts: [bpe.encode(t, allowed_special="all") for t in texts]
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
             _ENCODERS[path] = lambda texts: [e.ids for e in t.encode_batch_fast(list(texts), add_special_tokens=False)]
     return _ENCODERS[path]
 
@@ -139,8 +155,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
     A document is its ids by the tokenizer file, then ``end``; null text is empty, so every
     row has one id at least. Columns: doc_id, start, length, doc_tokens, sequence_id,
     offset, ids (little-endian unsigned 32-bit). Repeated rows are packed each; extra
-    columns are ignored; an empty table gives an empty table. sequence_id is the task's
-    number, then a count.
+    columns are ignored; an id that is no integer becomes null; an empty table gives an
+    empty table. sequence_id is the task's number, then a count.
     """
     small_batches(docs.sparkSession, 64)
 
@@ -160,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END)
             rows, first = block.rows(first, window)
             yield from rows.to_batches(2000)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

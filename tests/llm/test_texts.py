@@ -124,7 +124,6 @@ def test_packing_round_trip(docs, texts, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     pieces = packing.pack(docs, packing.tokenizer_path()).collect()
     places, whole = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -162,9 +161,18 @@ def test_best_fit_is_best_fit_decreasing():
     assert n == len(room) and (64 - offsets == expected).all()
 
 
-def test_special_strings_are_text():
-    encode = packing.encoder(packing.tokenizer_path())
-    assert 50256 not in encode(["a <|endoftext|> b"])[0]
+def test_ids_are_the_plain_calls():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    alphabet = "abc XYZ 0123 \n\t\r\u00a0\u2003 '!?.,;<|>é漢字ñ\u0301😀\x00"
+    texts = ["", " ", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|>", "it's we'll  I'D   \n\n done  ", "<|endof text|>", *("".join(rng.choices(alphabet, k=rng.randrange(80))) for _ in range(400))]
+    texts += [f"{a}  <|endoftext|>{b}" for a, b in zip(texts[-20:], texts[-40:-20], strict=True)]
+    assert packing.encoder(packing.tokenizer_path())(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert packing.encoder(packing.tokenizer_path())(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
 
 
 def test_language_model(docs, texts, empty):
