@@ -16,6 +16,8 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +37,7 @@ DROPPED = frozenset("nav footer aside form menu dialog fieldset search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 NOISE = frozenset("nav navbar navigation menu sidebar sidenav header masthead footer ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored cookie cookies notice consent gdpr popup modal overlay newsletter subscribe subscription signup comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs share sharing social related recommended widget login search pagination pager toolbar skip hidden".split())
+REMARKS = frozenset("comment comments commentlist reply replies respond response responses".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -44,16 +47,23 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 BLANK = re.compile(r"\s+")
 #: Share of a wrapper element's varying text that one child must hold to be entered.
 DENSE = 0.6
+#: Elements on a block's path at most; of those further inside only the first that is no article is kept.
+DEPTH = 64
+#: Places of a table of two sequences of children at most; longer ones are aligned greedily.
+CELLS = 40_000
 #: Salts of the first merge.
 SALTS = 64
 
 
 def _label(tag: str, attributes: str) -> str:
     """The element's name in wrappers; with ! if its class, id or role marks it as no article."""
-    if tag in HEADINGS or tag in ("html", "body", "article", "main") or not attributes.strip():
+    if tag in HEADINGS or tag in ("html", "body") or not attributes.strip():
         return tag
     a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(attributes)}
     words = re.findall(r"[a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower())
+    if tag in ("article", "main"):
+        # a reader's comment may be an article of its own
+        return tag + "!" if REMARKS.intersection(words) or a.get("itemprop", "").lower() == "comment" else tag
     if NOISE.intersection(words) or a.get("role", "").lower() in ROLES or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
         return tag + "!"
     if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody":
@@ -71,13 +81,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     path: list[tuple[str, str]] = []
     parts: list[str] = []
+    within: Counter[str] = Counter()
+    endless: set[str] = set()
     links = inlink = 0
 
     def flush() -> None:
         nonlocal links
         text = BLANK.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((tuple(x for _, x in path), text, links))
+            shown = [x for _, x in path[:DEPTH]]
+            out.append(((*shown, *next(([x] for _, x in path[DEPTH:] if not _clean(x)), [])), text, links))
         parts.clear()
         links = 0
 
@@ -97,7 +110,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         tag, closing = tag.lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
                 if tag == "head" and not end:
                     end = re.compile(r"<body\b", re.I).search(page, at)
                     at = end.start() if end else at
@@ -115,24 +130,27 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag == "hr":
             continue
         if closing:
-            if any(t == tag for t, _ in path):
-                while path.pop()[0] != tag:
-                    pass
+            while within[tag]:
+                last = path.pop()[0]
+                within[last] -= 1
+                if last == tag:
+                    break
             continue
         if tag in CLOSES_P and path and path[-1][0] == "p":
-            path.pop()
+            within[path.pop()[0]] -= 1
         for same, stop in (({"li"}, {"ul", "ol", "menu"}), ({"td", "th"}, {"tr", "table"}), ({"tr"}, {"table", "tbody", "thead", "tfoot"}), ({"dt", "dd"}, {"dl"})):
-            if tag in same:
+            if tag in same and any(within[t] for t in same):
                 for i in range(len(path) - 1, -1, -1):
                     if path[i][0] in stop:
                         break
                     if path[i][0] in same:
+                        within.subtract(t for t, _ in path[i:])
                         del path[i:]
                         break
-        if tag in ("html", "body"):
-            if any(t == tag for t, _ in path):
-                continue
+        if tag in ("html", "body") and within[tag]:
+            continue
         path.append((tag, _label(tag, m[3])))
+        within[tag] += 1
     flush()
     return out
 
@@ -176,38 +194,64 @@ def _absorb(a: Node, b: Node, same_page: bool) -> Node:
 def collapse(kids: list[Node]) -> list[Node]:
     """Repeats of one element, or of a run of up to six, become one."""
     for period in range(1, 7):
-        i, out = 0, list(kids)
-        while i + 2 * period <= len(out):
-            if [k.label for k in out[i : i + period]] == [k.label for k in out[i + period : i + 2 * period]]:
-                for j in range(period):
-                    _absorb(out[i + j], out[i + period + j], True)
-                del out[i + period : i + 2 * period]
-            else:
-                i += 1
+        out: list[Node] = []
+        for k in kids:
+            out.append(k)
+            while len(out) >= 2 * period and all(out[-i].label == out[-i - period].label for i in range(1, period + 1)):
+                for i in range(period, 0, -1):
+                    _absorb(out[-i - period], out[-i], True)
+                del out[-period:]
         kids = out
     return kids
 
 
-def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
-    """Two sequences as one: the longest common subsequence of labels is matched, the rest is optional."""
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of labels: equal ends, then the longest one by a table, or a greedy one where that would be too large."""
     n, m = len(a), len(b)
+    head = 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head)]
+    x, y = a[head : n - tail], b[head : m - tail]
+    if len(x) * len(y) <= CELLS:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        places: dict[str, list[int]] = {}
+        for j, label in enumerate(y):
+            places.setdefault(label, []).append(j)
+        at = 0
+        for i, label in enumerate(x):
+            found = places.get(label, [])
+            k = bisect_left(found, at)
+            if k < len(found) and found[k] - at <= len(x) - i:
+                out.append((head + i, head + found[k]))
+                at = found[k] + 1
+    return out + [(n - tail + i, m - tail + i) for i in range(tail)]
+
+
+def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
+    """Two sequences as one: a common subsequence of labels is matched, the rest is optional."""
     if [x.label for x in a] == [x.label for x in b]:
         return [_absorb(x, y, same_page) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].label == b[j].label else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i].label == b[j].label:
-            out.append(_absorb(a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(a[i])
-            i += 1
-        else:
-            out.append(b[j])
-            j += 1
+    for p, q in _matches([x.label for x in a], [x.label for x in b]):
+        out += [*a[i:p], *b[j:q], _absorb(a[p], b[q], same_page)]
+        i, j = p + 1, q + 1
     return collapse(out + a[i:] + b[j:])
 
 
@@ -349,7 +393,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is an empty page, whose text is empty; a null url, or one without a host,
     belongs to the host without name; repeated rows give equal rows; extra columns are
-    ignored; an empty table gives an empty table.
+    ignored; an empty table gives an empty table. Elements may be nested to any depth, of
+    which wrappers see DEPTH levels, and have any number of children.
     """
     small_batches(pages.sparkSession, 128)
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from brute import prose
 
@@ -126,6 +127,42 @@ def test_an_element_without_its_end_tag_hides_no_text(tag):
     assert texts(f"<body><p>one</p><{tag}>gone</{tag}><p>two</p><script>three") == ["one", "two"]
 
 
+def test_deep_long_and_malformed_pages(spark):
+    inner = "".join(f"<p>para {i}</p><h2>h {i}</h2>" for i in range(3000))
+    pages = {
+        "deep": "<div>" * 10_000 + "deep text" + "</div>" * 10_000,
+        "long": f"<body><article>{inner}</article></body>",
+        "unlike": "<body>" + "".join(f"<div class='{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}'>t{i}</div>" for i in range(3000)) + "</body>",
+        "items": "<ul>" + "<li>x<div>" * 3000,
+        "ends": "</div>" * 5000 + "<p>x</p>" + "<button>" * 3000,
+    }
+    rows = [(f"{k}{i}", f"https://{k}.example/{i}", v) for k, v in pages.items() for i in range(2)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert out["deep0"] == "deep text" and out["ends1"] == "x"
+    assert out["long0"].split("\n") == [x for i in range(3000) for x in (f"para {i}", f"h {i}")]
+    assert out["unlike1"].split("\n") == [f"t{i}" for i in range(3000)]
+    assert out["items0"] == "\n".join("x" * 3000)
+
+
+def test_readers_comments_are_not_the_article(spark):
+    page = PAGE.format("<article><h1>Head</h1><p>One two</p><article class='comment-body'><p>I disagree</p></article></article><article class='comment'><p>Me too</p></article>")
+    out = html.extract(spark.createDataFrame([(i, "https://c.example/", page) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {"Head\nOne two"}
+
+
+def test_alignment_matches_a_common_subsequence():
+    rng = np.random.default_rng(4)
+    for n, m, kinds in ((6, 6, 2), (40, 30, 4), (400, 300, 5)):
+        a, b = ([str(x) for x in rng.integers(0, kinds, k)] for k in (n, m))
+        pairs = html._matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[n][m] if n * m <= html.CELLS else len(pairs) > best[n][m] / 2
+
+
 def test_pages_of_an_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
