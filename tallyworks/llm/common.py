@@ -7,7 +7,6 @@ works on words in Python therefore works on UTF-8 bytes.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,26 +39,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests where it is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, one in the warehouse, which they share too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
 
 
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, computed once."""
     path = f"{shared_dir(df.sparkSession)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept.kept_at = path
-    return kept
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def done_with(*kept: DataFrame) -> None:
-    """Delete durable tables that nothing reads any more, and let Spark's cleaner have the shuffles of finished jobs."""
-    jvm = kept[0].sparkSession.sparkContext._jvm
-    conf = kept[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
+    """Delete durable tables that nothing reads any more."""
     for df in kept:
-        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
-        path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+        files = df.inputFiles()
+        if files:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

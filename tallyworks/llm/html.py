@@ -238,7 +238,8 @@ def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         for i, label in enumerate(x):
             found = places.get(label, [])
             k = bisect_left(found, at)
-            if k < len(found) and found[k] - at <= len(x) - i:
+            # no jump that leaves much less of one sequence than of the other
+            if k < len(found) and found[k] - at <= 8 + max(0, len(y) - at - (len(x) - i)):
                 out.append((head + i, head + found[k]))
                 at = found[k] + 1
     return out + [(n - tail + i, m - tail + i) for i in range(tail)]

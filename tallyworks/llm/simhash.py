@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table, text_of
+from .common import done_with, keep, small_batches, table, text_of
 from .graph import components
 
 #: A shard up to this size is compared outright, row against following rows.
@@ -195,10 +195,9 @@ def links(distinct: DataFrame, radius: int = 4, most: int = SHARD) -> DataFrame:
         mine = F.pmod(F.hash("fp"), F.col("n"))
         dealt = dealt.select("key", "fp", "n", mine.alias("m")).select("key", "fp", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
         dealt = dealt.select(F.xxhash64("key", F.least("m", "o"), F.greatest("m", "o")).alias("key"), "fp")
-        more = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(radius, 4 * most), schema)
+        # hashing keeps pairs of blocks near ``most`` rows; whatever they have, they are compared
+        more = dealt.repartition("key").sortWithinPartitions("key").mapInPandas(_shards(radius, 1 << 62), schema)
         found = keep(found.where("not large").unionByName(more), "shards")
-        if not found.where("large").isEmpty():
-            raise RuntimeError("a block of a large shard is above its bound")
     return found.select("a", "b")
 
 
@@ -211,9 +210,12 @@ def names(fps: DataFrame, radius: int = 4) -> DataFrame:
     # sorted rows of two longs may come in larger batches than texts
     joined = components(links(distinct, radius))
     grouped = keep(joined.join(distinct, joined["node"] == distinct["fp"]).select("root", "fp", "first"), "grouped")
-    lowest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, as are the names: adaptive execution splits the hot keys of a join of plain tables
+    lowest = keep(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     named = grouped.join(lowest, "root").select("fp", "root", "component_id")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    out = keep(distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), "names")
+    done_with(distinct, grouped, lowest)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:

@@ -5,8 +5,9 @@ unlabelled text. A linear model over words, word beginnings and word ends is fit
 numpy to the non-negative risk ``prior * R+(P) + max(0, R-(U) - prior * R-(P))``, where
 ``prior`` is the toxic share among the labels learned from. Only the text is an input.
 
-Fitting uses a bounded sample: at most POSITIVES toxic and UNLABELLED labelled rows, the
-first in hash order of their ids; at most FEATURES features. Scoring covers every row.
+Fitting uses a bounded sample: at most POSITIVES toxic and UNLABELLED labelled documents,
+the first in hash order of their ids, each once. It is fitted in one task, which the bound
+allows, so that the driver sees weights only. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table, text_of
+from .common import done_with, keep, small_batches, table, text_of
 
-POSITIVES, UNLABELLED, FEATURES = 4_000, 12_000, 20_000
+POSITIVES, UNLABELLED = 4_000, 12_000
 #: A feature occurs in so many positives at least, so many times as often as in other text by
 #: the prior-corrected estimate, and so many standard errors from no difference.
 LEAST, LIFT, SURE = 4, 4.0, 2.7
@@ -69,18 +70,16 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "memo": {}}
 
 
-def fit(rows: list[list[int]], p: np.ndarray, u: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
+def fit(d: np.ndarray, f: np.ndarray, p: np.ndarray, u: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative risk's minimum.
 
-    rows are feature numbers with repeats, one list a text; p and u mark the positives and
-    the unlabelled, and a text may be both.
+    Text d[i] has feature f[i], perhaps more than once; p and u mark the positives and the
+    unlabelled texts, and a text may be both.
     """
-    d = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    f = np.array([i for r in rows for i in r], np.int64)
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, STEPS + 1):
-        z = np.clip(bias + np.bincount(d, w[f], len(rows)), -30, 30)
+        z = np.clip(bias + np.bincount(d, w[f], len(p)), -30, 30)
         s = 1 / (1 + np.exp(-z))
         # logistic losses: log(1 + exp(-z)) for label 1, log(1 + exp(z)) for label 0
         negative = np.logaddexp(0, z)
@@ -122,9 +121,12 @@ def learn(docs: DataFrame, labels: DataFrame, excluded: Column | None = None) ->
         .groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     )
     texts = docs.select("doc_id", text_of(docs).alias("text"))
-    sample = keep(texts.join(F.broadcast(chosen), "doc_id").select("p", "u", "text"), "toxicity")  # POSITIVES + UNLABELLED ids at most
+    # POSITIVES + UNLABELLED ids at most; of a repeated id one text
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("p").alias("p"), F.first("u").alias("u"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = keep(once.select("p", "u", "text"), "toxicity")
     n_p, n_u = sample.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
     if not n_p or not n_u or share >= 1:
+        done_with(sample)
         return Model({}, -30.0)
     prior = float(np.clip(share, 0.001, 0.9))
     spread = sample.repartition(max(12, sample.sparkSession.sparkContext.defaultParallelism))
@@ -136,16 +138,28 @@ def learn(docs: DataFrame, labels: DataFrame, excluded: Column | None = None) ->
     lift = F.col("p") / n_p / other
     sure = F.log(lift) / F.sqrt(1 / F.col("p") + 1 / (other * n_u))
     strong = often.join(rare, "f", "left").select("f", "p", lift.alias("lift"), sure.alias("sure")).where((F.col("lift") >= LIFT) & (F.col("sure") >= SURE))
-    names = [r["f"] for r in strong.orderBy(F.desc("sure"), "f").limit(FEATURES).collect()]
+    names = [r["f"] for r in strong.orderBy(F.desc("sure"), "f").collect()]  # features of the sample, which is bounded
     number = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"p": pdf["p"], "u": pdf["u"], "x": [sorted(number[f] for w in _words(t) for f in features(w) if f in number) for t in pdf["text"]]})
 
-    got = spread.mapInPandas(rows, "p int, u int, x array<int>").collect()
-    w, bias = fit([r["x"] for r in got], np.array([r["p"] == 1 for r in got]), np.array([r["u"] == 1 for r in got]), len(names), prior)
-    return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 0.02}, float(bias))
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, p, u = [np.zeros(0, np.int32)], [], []
+        for pdf in batches:
+            parts += [np.asarray(x, np.int32) for x in pdf["x"]]
+            p.append(pdf["p"].to_numpy() == 1)
+            u.append(pdf["u"].to_numpy() == 1)
+        lengths = [len(x) for x in parts[1:]]
+        w, bias = fit(np.repeat(np.arange(len(lengths)), lengths), np.concatenate(parts), np.concatenate(p), np.concatenate(u), len(number), prior)
+        yield pd.DataFrame({"i": np.arange(-1, len(w)), "w": np.append(bias, w)})
+
+    # sorted, so that the order of sums and with it the fit is the same each time
+    one = spread.mapInPandas(rows, "p int, u int, x array<int>").repartition(1).sortWithinPartitions("p", "u", "x")
+    found = {r["i"]: r["w"] for r in one.mapInPandas(fitted, "i long, w double").collect()}
+    done_with(sample)
+    return Model({f: found[i] for i, f in enumerate(names) if found[i]}, found[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
