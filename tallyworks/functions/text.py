@@ -7,11 +7,15 @@ includes the no-break space and the byte-order mark.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\u00a0\ufeff]"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# The form of a part number and of a header.
 #: 4 to 7 digits, perhaps with a suffix that starts with a letter, or 3 digits with one.
 NUMBER = r"(?:[0-9]{4,7}(?:[A-Za-z][A-Za-z0-9]*)?|[0-9]{3}[A-Za-z][A-Za-z0-9]*)"
 PART = LEFT + NUMBER + RIGHT
@@ -106,10 +110,57 @@ def color_key(x: Column) -> Column:
     return trimmed(F.regexp_replace(F.replace(F.replace(F.replace(F.lower(x), F.lit("grey"), F.lit("gray")), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")), rf"{BLANK}+", " "))
 
 
-#: Words left out when names are compared.
+# Words left out when names are compared.
 STOP_WORDS = ["and", "for", "the", "to", "with", "without"]
 
 
+# Colour ids and their names.
+COLOR_NAMES = {
+    "0": "Black", "1": "Blue", "2": "Green", "4": "Red", "14": "Yellow", "15": "White", "19": "Tan", "25": "Orange", "28": "Dark Tan", "47": "Transparent", "70": "Reddish Brown", "71": "Light Bluish Gray",
+    "72": "Dark Bluish Gray", "179": "Flat Silver",
+}
+
+
+def color_name(x: Column) -> Column:
+    """The name of a usual colour id; other texts stand for themselves, blank ones are null."""
+    t = blank_as_null(x)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in COLOR_NAMES.items() for v in kv]), t), t)
+
+
+def color_phrase_key(x: Column) -> Column:
+    """A key of equal colour phrases: small, grey as gray, single blanks; hyphens stay."""
+    return trimmed(F.regexp_replace(F.replace(F.lower(x), F.lit("grey"), F.lit("gray")), rf"{BLANK}+", " "))
+
+
+def color_variants(name: str) -> list[str]:
+    """Ways in which a colour's name is written: with blanks, hyphens or neither, gray or grey, trans or transparent."""
+    name = name.strip()
+    spaced = dict.fromkeys(v for v in (name, name.replace("-", " "), re.sub(r"\s+", "-", name)) if v)
+    out = dict(spaced)
+    for v in spaced:
+        for old, new in ((r"[-\s]+", ""), (r"(?i)\bgray\b", "Grey"), (r"(?i)\bgrey\b", "Gray"), (r"(?i)^trans[-\s]", "Transparent ")):
+            out[re.sub(old, new, v)] = None
+    return list(out)
+
+
+def color_pattern(x: Column) -> Column:
+    """A pattern, for small texts, of all ways in which the colour's name is written, as words by themselves; null without a name."""
+    name = F.lower(blank_as_null(x))
+    plain = F.regexp_replace(F.regexp_replace(name, r"([^a-z0-9\s-])", r"\\$1"), r"[-\s]+", r"[-\\s]*")
+    gray = F.regexp_replace(F.regexp_replace(plain, "gr[ae]y", "gr[ae]y"), r"^trans(?=\[)", "trans(?:parent)?")
+    return F.concat(F.lit(LEFT + "(?:"), gray, F.lit(")" + RIGHT))
+
+
+def literal_pattern(x: Column) -> Column:
+    """A pattern of the text itself, as a word by itself."""
+    return F.concat(F.lit(LEFT), F.regexp_replace(x, r"([^A-Za-z0-9])", r"\\$1"), F.lit(RIGHT))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def name_tokens(x: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     """Distinct words of a name, longer than a letter and not stop words."""
     return F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(stop_words)))
@@ -119,6 +170,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def luminance(c: Column) -> Column:
+    return 0.299 * c["r"] + 0.587 * c["g"] + 0.114 * c["b"]
+
+
+def saturation(c: Column) -> Column:
+    """Spread of the channels over the largest, 0 for black."""
+    high, low = F.greatest(c["r"], c["g"], c["b"]), F.least(c["r"], c["g"], c["b"])
+    return F.when(high > 0, (high - low) / high).otherwise(F.lit(0.0))
+
+
 def rgb(x: Column) -> Column:
     """Struct r, g, b of six hex digits, perhaps after #; null if it is none."""
     h = F.regexp_extract(x, "^#?([0-9A-Fa-f]{6})$", 1)

@@ -21,13 +21,15 @@ from tallyworks.plans import flagship
 BAND = 12
 #: A word joins a row whose mean height is within this, or 2.5 times its own height.
 ROW = 36
-#: A count split from its x is within so many pixels of it.
-SPLIT = 42
+# The largest count, and where a count may stand: (pixels at least, part heights) in the part's row, (pixels at least, heights up, widths aside) above it.
+MOST = 999
+SAME_ROW, ABOVE = (22, 1.8), (180, 8, 2.5)
+SLOT_ROW, SLOT_ABOVE = (28, 2.2), (160, 7, 2.2)
 NUMBER = re.compile(rf"^{T.NUMBER}$")
 COUNT = re.compile(r"^(?:([0-9]{1,4})x|x([0-9]{1,4}))$")
 INTEGER = re.compile(r"^[0-9]{1,3}$")
 #: What recognition makes of a lone count of one.
-ONE = re.compile(r"^[@&#.x]+$")
+ONE = re.compile(r"^(?:[.@&#]+|x)$")
 
 
 class Word(NamedTuple):
@@ -83,29 +85,75 @@ def part_word(words: list[Word]) -> tuple[str, Word] | None:
     return found[0].lower(), next((w for w in words if found[0].startswith(w.text)), words[0])
 
 
+def small(text: str) -> int | None:
+    """A positive integer up to MOST with which a text starts."""
+    m = re.match(r"\s*\+?([0-9]+)", text)
+    n = int(m[1]) if m else 0
+    return n if 0 < n <= MOST else None
+
+
 def count(text: str) -> int | None:
     """The count of a word like 4x or x4, with usual misreadings of 1 put right."""
-    t = re.sub(r"^[^\w×✕]+|[^\w×✕]+$", "", text).replace("×", "x").replace("✕", "x").lower()
-    m = COUNT.match(re.sub(r"[il|](?=x$)|(?<=^x)[il|]", "1", t))
-    n = int(m[1] or m[2]) if m else 0
-    return n or None
+    t = re.sub(r"^[^0-9A-Za-z|]+|[^0-9A-Za-z|]+$", "", text.replace("×", "x").replace("✕", "x")).lower()
+    m = COUNT.match(re.sub(r"^[il|](?=x$)|(?<=^x)[il|]$", "1", t))
+    return small(m[1] or m[2]) if m else None
+
+
+def is_one(text: str) -> bool:
+    """Whether a word is what recognition makes of a lone count of one: dots and signs, or one x."""
+    return bool(ONE.match(re.sub(r"[^@&#.x]", "", text.strip().replace("×", "x").replace("✕", "x").lower())))
+
+
+def _reach(part: Word) -> tuple[float, float]:
+    """Height and width of a part word, in which distances are measured."""
+    return max(1.0, part.height), part.x1 - part.x0
+
+
+def _level(w: Word, part: Word, least: float, factor: float) -> bool:
+    return abs(w.y - part.y) <= max(least, factor * _reach(part)[0])
+
+
+def _above(w: Word, part: Word, least: float, up: float, aside: float) -> bool:
+    h, width = _reach(part)
+    return 0 < part.y - w.y <= max(least, up * h) and abs(w.x - part.x) <= max(least, aside * width)
+
+
+def is_standalone(w: Word, part: Word, after: Word | None) -> bool:
+    """Whether an integer of up to three digits stands where a part's count does: above it, before it in its row, or right after it and no dimension."""
+    if not INTEGER.match(w.text.strip()):
+        return False
+    h = _reach(part)[0]
+    level = _level(w, part, *SAME_ROW)
+    behind = level and part.x1 <= w.x0 <= part.x1 + 4 * h and not (after and after.text.strip().lower() == "x")
+    return behind or _above(w, part, *ABOVE) or level and w.x1 <= part.x0 + 3 * h
+
+
+def in_slot(w: Word, part: Word) -> bool:
+    """Whether a sign stands where a part's count does: before it in its row, or above it."""
+    return w is not part and (_level(w, part, *SLOT_ROW) and w.x <= part.x or _above(w, part, *SLOT_ABOVE))
 
 
 def quantity(words: list[Word], part: Word) -> int | None:
-    """The count of a part word: Nx nearest to it, an integer in its slot above or left, an integer beside a lone x, a sign that stands for one."""
-    others = [w for w in words if w is not part]
-    explicit = [(abs(w.x - part.x) + 0.3 * abs(w.y - part.y), n) for w in others if (n := count(w.text))]
+    """The count of a part word: the Nx nearest to it from left to right, an integer in its place, an integer beside the first lone x, a sign that stands for one.
+
+    words are in reading order and may hold the part's own word.
+    """
+    explicit = [(abs(w.x - part.x), n) for w in words if (n := count(w.text))]
     if explicit:
-        return min(explicit)[1]
-    width, height = max(part.x1 - part.x0, 24), max(part.height, 8)
-    slot = [w for w in others if abs(w.x - part.x) <= 1.5 * width and -4 * height <= w.y - part.y <= 1.5 * height]
-    whole = [(0.7 * abs(w.x - part.x) + abs(w.y - part.y), int(w.text)) for w in slot if INTEGER.match(w.text) and int(w.text)]
+        return min(explicit, key=lambda c: c[0])[1]
+    after = dict(enumerate(words[1:]))
+    whole = [(abs(w.x - part.x), n) for i, w in enumerate(words) if w is not part and (n := small(w.text)) and is_standalone(w, part, after.get(i))]
     if whole:
-        return min(whole)[1]
-    beside = [(abs(x.x - w.x) + 2 * abs(x.y - w.y), int(w.text)) for x in others if x.text.lower() in ("x", "×") for w in others if INTEGER.match(w.text) and int(w.text) and abs(x.x - w.x) <= SPLIT and abs(x.y - w.y) <= height]
-    if beside:
-        return min(beside)[1]
-    return 1 if any(ONE.match(w.text) for w in slot) else None
+        return min(whole, key=lambda c: c[0])[1]
+    at = next((i for i, w in enumerate(words) if w.text.lower() == "x"), None)
+    if at is not None:
+        x = words[at]
+        if not (_level(x, part, *SAME_ROW) and x.x0 <= part.x1 + 5 * _reach(part)[0]):
+            return None
+        beside = [n for w in (*words[max(0, at - 1) : at], *words[at + 1 : at + 2]) if is_standalone(w, part, None) and (n := small(w.text))]
+        if beside:
+            return beside[0]
+    return 1 if any(is_one(w.text) and in_slot(w, part) for w in words) else None
 
 
 def page_rows(words: list[Word]) -> list[tuple[int, str, int | None, str]]:

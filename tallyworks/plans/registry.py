@@ -26,13 +26,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tallyworks.plans import flagship
+    from tallyworks.plans import checks, flagship  # noqa: F401  (checks registers its queries here)
 
     return _QUERIES | {"part_rows": flagship.part_rows}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyworks.plans import flagship
+    from tallyworks.plans import checks, flagship  # noqa: F401
 
     return _SQL | {"part_rows": flagship.PART_ROWS_SQL}
 
@@ -263,19 +263,9 @@ def band_merge(spark, sf_dir):
     return windows.bands(e, ["user_id"], "s", 36000, 2)
 
 
-@query("""
-SELECT b.l_orderkey AS box, p.event_id, p.g FROM (SELECT event_id, user_id % 7 AS g, value AS x, (event_id % 100)::DOUBLE AS y FROM events) p
-JOIN (SELECT l_orderkey, l_orderkey % 7 AS g, l_quantity AS x0, l_quantity + 5 AS x1, (l_partkey % 90)::DOUBLE AS y0, (l_partkey % 90 + 8)::DOUBLE AS y1 FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 3) b
-ON p.g = b.g AND p.x >= b.x0 AND p.x < b.x1 AND p.y >= b.y0 AND p.y < b.y1""")
-def point_in_box(spark, sf_dir):
-    p = t(spark, sf_dir, "events").select("event_id", F.pmod("user_id", F.lit(7)).alias("g"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
-    b = t(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 3").select(F.col("l_orderkey").alias("box"), F.pmod("l_orderkey", F.lit(7)).alias("g"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), (F.col("l_partkey") % 90).cast("double").alias("y0"), (F.col("l_partkey") % 90 + 8).cast("double").alias("y1"))
-    return geometry.points_in_boxes(p, b, ["g"], 5.0, 8.0).select("box", "event_id", "g")
-
-
 @query()
 def point_in_box_whole(spark, sf_dir):
-    """point_in_box with every lineitem row as a box; no SQL, as DuckDB would compare all pairs of a group."""
+    """Every lineitem row as a box; no SQL, as DuckDB would compare all pairs of a group."""
     p = t(spark, sf_dir, "events").select("event_id", F.pmod("user_id", F.lit(7)).alias("g"), F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
     b = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("box"), F.col("l_linenumber").alias("line"), F.pmod("l_orderkey", F.lit(7)).alias("g"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), (F.col("l_partkey") % 90).cast("double").alias("y0"), (F.col("l_partkey") % 90 + 8).cast("double").alias("y1"))
     return geometry.points_in_boxes(p, b, ["g"], 5.0, 8.0).select("box", "line", "event_id", "g")
@@ -340,24 +330,6 @@ def unique_value_repair(spark, sf_dir):
     return relational.only_value(t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag").select("l_orderkey", F.col("l_returnflag").alias("flag"))
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderpriority, count(*) FILTER (WHERE n = 1)::BIGINT AS exact_matches, count(*) FILTER (WHERE n > 1)::BIGINT AS alias_matches, count(*) FILTER (WHERE n IS NULL)::BIGINT AS unmatched_rows
-FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderpriority""")
-def validation_summary(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    return t(spark, sf_dir, "orders").join(l, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count_if(F.col("n") == 1).alias("exact_matches"), F.count_if(F.col("n") > 1).alias("alias_matches"), F.count_if(F.col("n").isNull()).alias("unmatched_rows"))
-
-
-@query("""
-WITH a AS (SELECT o_orderkey AS k, sum(1) AS mine FROM orders WHERE o_orderkey % 3 > 0 GROUP BY ALL), b AS (SELECT l_orderkey AS k, sum(1) AS theirs FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
-SELECT k, mine::BIGINT AS mine, theirs::BIGINT AS theirs, CASE WHEN theirs IS NULL THEN 'left-only' WHEN mine IS NULL THEN 'right-only' WHEN mine = theirs THEN 'exact' ELSE 'mismatch' END AS status FROM a FULL JOIN b USING (k)""")
-def reconcile_full_outer(spark, sf_dir):
-    a = t(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("v"))
-    b = t(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"), F.lit(1).alias("v"))
-    return relational.compare(a, b, "k", "v")
-
-
 @query("""
 SELECT sum(l_quantity)::BIGINT AS total, (SELECT sum(q)::BIGINT FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey)) AS by_order,
   (SELECT sum(q)::BIGINT FROM (SELECT sum(l_quantity) AS q FROM lineitem GROUP BY l_partkey, l_suppkey)) AS by_part FROM lineitem""")

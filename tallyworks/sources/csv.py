@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyworks.functions import text as T
 
 # Header names that mean a column, letters and digits only, first ones preferred.
-HEADERS = {"part": ["part", "partnum", "partnumber", "designid"], "color": ["color", "colorid", "colour", "colourid"], "quantity": ["quantity", "qty", "count"], "spare": ["isspare", "spare"]}
+HEADERS = {"part": ["part", "partnum", "partnumber"], "color": ["color", "colorid", "colour", "colourid"], "quantity": ["quantity", "qty", "count"], "spare": ["isspare", "spare"]}
 
 
 def cells(content: str) -> list[list[str]]:
@@ -81,7 +81,7 @@ def inventory(spark: SparkSession, paths: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bulk(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Columns of a (compressed) bulk file, as strings, blank values as null, with the file's order o; a .gz file is one task, so it is dealt out again."""
-    df = spark.read.csv(path, header=True, multiLine=False, quote='"', escape='"')
+    """Columns of a (compressed) bulk file, as strings, blank values as null, with the file's order o; quoted line ends stay in their cells; a .gz file is one task, so it is dealt out again."""
+    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     there = {c.strip(): c for c in df.columns}
     return df.select(*[(T.blank_as_null(F.col(f"`{there[c]}`")) if c in there else F.lit(None).cast("string")).alias(c) for c in columns], F.monotonically_increasing_id().alias("o")).repartition(spark.sparkContext.defaultParallelism)

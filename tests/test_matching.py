@@ -32,7 +32,7 @@ def test_assignment_like_a_loop(spark):
 def test_edges_keep_the_best_evidence(spark):
     items = spark.createDataFrame([("m", 1, "3001"), ("m", 2, "4589b"), ("m", 3, "49661pb01"), ("m", 4, "60481"), ("m", 5, "5555")], "manual_id string, sequence int, part_number string")
     rows = spark.createDataFrame([("m", 1, "3001"), ("m", 2, "4589"), ("m", 3, "49661pr0001"), ("m", 4, "60487"), ("m", 5, "777"), ("n", 6, "3001")], "manual_id string, row int, part_number string")
-    aliases = spark.createDataFrame([("5555", "777", "print")], "part string, alias string, kind string")
+    aliases = spark.createDataFrame([("777", "5555", "print", "x"), ("3001", "3001", "own", "")], "part string, alias string, kind string, source string")
     found = {(r.sequence, r.row): (r.kind, r.score) for r in matching.edges(items, rows, aliases).collect()}
     assert found == {(1, 1): ("exact", 300), (2, 2): ("alias", 150), (3, 3): ("exact", 260), (4, 4): ("alias", 138), (5, 5): ("alias", 184)}
 

@@ -45,7 +45,7 @@ def test_pdf_signature(spark, tmp_path):
 def bulk_files(folder):
     files = {
         "colors": "id,name,rgb\n1,Blue,0000FF\n1,Bluish,\n2,Red,FF0000\n",
-        "parts": "part_num,name\n3001,Brick\n3001,Brick 2 x 4\n3002A,Plate\n",
+        "parts": 'part_num,name\n3001,Brick\n3001,Brick 2 x 4\n3002A,"Plate\n1 x 2"\n',
         "elements": "element_id,part_num,color_id\n9,3001,1\n7,3001,1\n9,3001,1\n8,3002A,2\n",
         "part_relationships": "rel_type,child_part_num,parent_part_num\nA,3001,3002A\nP,3005,3001\nM,3001,3002A\nX,1,2\nA,3001,3001\n",
     }
@@ -62,9 +62,9 @@ def test_catalog_is_built_published_and_looked_up(spark, tmp_path):
     catalog.publish(spark, built, root)
     c = catalog.load(spark, root)
     assert {r.id: (r.name, r.rgb) for r in c["color"].collect()} == {"1": ("Bluish", "0000FF"), "2": ("Red", "FF0000")}
-    assert {r.part_num: r.name for r in c["part"].collect()} == {"3001": "Brick 2 x 4", "3002a": "Plate"}
+    assert {r.part_num: r.name for r in c["part"].collect()} == {"3001": "Brick 2 x 4", "3002a": "Plate\n1 x 2"}
     assert {(r.part_num, r.color_id): r.element_ids for r in c["element"].collect()} == {("3001", "1"): ["9", "7"], ("3002a", "2"): ["8"]}
-    assert {(r.part, r.alias, r.kind) for r in c["alias"].collect()} == {("3001", "3002a", "A"), ("3002a", "3001", "A"), ("3005", "3001", "P")}
+    assert {(r.part, r.alias, r.source) for r in c["alias"].collect() if r.kind == "relationship"} == {("3001", "3002a", "A"), ("3002a", "3001", "A"), ("3005", "3001", "P")}
     parts, missing = catalog.lookup(c, spark.createDataFrame([(" 3001",), ("3005",), ("77",), ("",)], "part_num string"))
     assert [r.part_num for r in parts.collect()] == ["3001"] and [r.part_num for r in missing.collect()] == ["77"]
     with pytest.raises(ValueError, match="at most"):
@@ -76,7 +76,7 @@ def test_payloads(spark):
     rows = [(json.dumps({"results": [one, {"name": "no number"}]}),), (json.dumps([{"part_num": "1"}]),), (json.dumps({"part_num": "2"}),), ("not json",), (None,)]
     out = {r.part_num: r for r in catalog.payload_parts(spark.createDataFrame(rows, "payload string")).collect()}
     assert set(out) == {"3001a", "1", "2"}
-    assert {(a.number, a.kind) for a in out["3001a"].aliases} == {("3001", "print"), ("9", "external"), ("8", "external"), ("7", "external"), ("5", "relationship-M")}
+    assert {(a.number, a.kind) for a in out["3001a"].aliases} == {("3001", "print"), ("9", "external"), ("8", "external"), ("7", "external"), ("5", "relationship")}
 
 
 def test_projects(spark, tmp_path):
@@ -85,6 +85,16 @@ def test_projects(spark, tmp_path):
     projects.save(make(("a", "1"), ("b", "1")), root)
     projects.save(make(("a", "2")), root)
     assert projects.load(spark, root, "a").first().name == "2" and projects.load(spark, root, "b").first().name == "1"
+    assert projects.delete(spark, root, "b") and not projects.delete(spark, root, "b")
+    for name in ("rawText", "ocr_text", "textLines", "Crops", "manualBytes"):
+        with pytest.raises(ValueError, match=rf"\$\.{name}"):
+            projects.save(spark.createDataFrame([], f"project_id string, {name} string"), root)
+    empty = projects.empty(make(("a", "1"), ("b", "2")))
+    r = empty.first()
+    assert r.schema_version == 1 and r.manual is None and r.bag_splits == [] and r.updated_at is not None
+    meta = spark.createDataFrame([("a", "m.pdf", 5, "application/pdf", 7, 3, "secret")], "project_id string, file_name string, file_size long, file_type string, last_modified long, page_count int, text string")
+    both = {x.project_id: x.manual for x in projects.with_manual(empty, meta).collect()}
+    assert both["b"] is None and both["a"].asDict() == {"file_name": "m.pdf", "file_size": 5, "file_type": "application/pdf", "last_modified": 7, "page_count": 3}
     with pytest.raises(ValueError, match=r"\$\.doc\.pdf_bytes, \$\.raw"):
         projects.save(spark.createDataFrame([], "project_id string, doc struct<pdf_bytes: string>, raw binary"), root)
 

@@ -20,16 +20,24 @@ def test_part_numbers_in_three_ways():
 
 
 def test_counts():
-    assert [W.count(t) for t in ("4x", "x12", "ix", "(3x)", "7", "0x", "xx")] == [4, 12, 1, 3, None, None, None]
+    assert [W.count(t) for t in ("4x", "x12", "ix", "(3x)", "7", "0x", "xx", "999x", "1000x", "|x", "xl")] == [4, 12, 1, 3, None, None, None, 999, None, 1, 1]
+    assert [W.is_one(t) for t in ("@", "&#", ".", "x", "×", "xx", "x.", "a", "")] == [True, True, True, True, True, False, False, False, False]
 
 
 def test_quantities():
     part = word("3001", 100, 100)
     assert W.quantity([part, word("4x", 100, 70), word("9x", 400, 70)], part) == 4
     assert W.quantity([part, word("6", 100, 70)], part) == 6
-    assert W.quantity([part, word("5", 300, 100), word("x", 326, 100)], part) == 5
+    assert W.quantity([part, word("5", 150, 100), word("x", 176, 100)], part) == 5
+    assert W.quantity([part, word("5", 300, 100), word("x", 326, 100)], part) is None
     assert W.quantity([part, word("@", 100, 70)], part) == 1
     assert W.quantity([part], part) is None
+    # the nearest count is the one nearest from left to right, whatever its height
+    assert W.quantity([word("4x", 150, 98), word("8x", 100, 700), part], part) == 8
+    # a count after the number; one too high or too far aside is none
+    assert W.quantity([part, word("6", 150, 100)], part) == 6
+    assert W.quantity([word("6", 100, -90), part], part) is None and W.quantity([word("6", 400, 60), part], part) is None
+    assert W.quantity([word("@", 300, 100), part], part) is None and W.quantity([word("@", 60, 100), part], part) == 1
 
 
 def test_items_of_a_page(spark):
