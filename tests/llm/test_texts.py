@@ -193,9 +193,33 @@ def test_language_model(docs, texts, empty):
     assert lm.lm_scores(empty).collect() == []
 
 
-def test_class_model_is_a_distribution():
-    p = np.exp(lm.class_logs(np.random.default_rng(0).normal(size=(lm.FEATURES, lm.CLASSES))))
-    assert np.allclose(p.sum(1), 1)
+def test_factors_are_distributions():
+    for f in (0, 1):
+        p = np.exp(lm.logs(np.random.default_rng(f).normal(size=(lm.FEATURES, lm.OUTCOMES[f])), f))
+        assert p.shape == (lm.CONTEXTS[f], lm.OUTCOMES[f]) and np.allclose(p.sum(1), 1)
+
+
+def test_contexts_are_the_two_words_before():
+    texts = [[b"alpha", b"beta", b"gamma", b""], [b""], [b"beta", b""]]
+    keys = np.array([lm.key_of(w) for t in texts for w in t])
+    first, k, context, slot = lm.contexts_of(keys, np.array([0, 4, 5]))
+    at = 0
+    for t in texts:
+        for i, w in enumerate(t):
+            one, two = (lm.key_of(t[i - d] if i >= d else lm.END) for d in (1, 2))
+            x, y, c = one >> 8, two >> 20, lm.class_of(w)
+            assert (k[at], slot[at]) == (c, lm.key_of(w) % lm.SLOTS)
+            assert first[at] == x % lm.BEFORE[0] * lm.SKIPPED[0] + y % lm.SKIPPED[0]
+            assert context[at] == (c * lm.BEFORE[1] + x % lm.BEFORE[1]) * lm.SKIPPED[1] + y % lm.SKIPPED[1]
+            at += 1
+
+
+def test_training_follows_the_gradient(spark):
+    """What always follows a context becomes likely after it, in both factors."""
+    rows = [(f, c, [90 if o == (c + f) % n else 1 for o in range(n)]) for f, n in enumerate(lm.OUTCOMES) for c in range(0, 40, 3)]
+    weights = lm.train(spark.createDataFrame(rows, "factor int, context int, n array<long>"))
+    for f, c, n in rows:
+        assert int(lm.logs(weights[f], f)[c].argmax()) == int(np.argmax(n))
 
 
 def test_repeated_passages(docs, texts, empty):
