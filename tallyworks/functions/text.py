@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s\u00a0\ufeff]"
+BLANK, NOT_BLANK = r"[\s\u00a0\ufeff]", r"[^\s\u00a0\ufeff]"
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # The form of a part number and of a header.
 #: 4 to 7 digits, perhaps with a suffix that starts with a letter, or 3 digits with one.

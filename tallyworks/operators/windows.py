@@ -20,13 +20,15 @@ def frames(df: DataFrame, keys: Sequence[str], order: Sequence[str], mark: Colum
     before the next.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
+    within = Window.partitionBy(*keys, "_f").orderBy(*order)
     m = mark.cast("int")
-    numbered = df.select("*", m.alias("_m"), F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("frame"), F.lead(m).over(w).alias("_next"), before.alias("_b"))
-    inside = numbered.where("frame > 0").withColumn("place", F.row_number().over(Window.partitionBy(*keys, "frame").orderBy(*order)))
-    lead = numbered.where((F.col("_m") == 0) & (F.col("_next") == 1) & F.col("_b")).withColumn("frame", F.col("frame") + 1).withColumn("place", F.lit(0))
-    both = inside.unionByName(lead)
-    has = F.min("place").over(Window.partitionBy(*keys, "frame"))
-    return both.withColumn("_has", has).where(F.col("place") <= F.when(F.col("_has") == 0, most - 1).otherwise(most)).drop("_m", "_next", "_b", "_has")
+    numbered = df.select("*", m.alias("_m"), F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_f"), F.lead(m).over(w).alias("_next"), before.alias("_b"))
+    leads = numbered.withColumn("_lead", F.coalesce((F.col("_m") == 0) & (F.col("_next") == 1) & F.col("_b"), F.lit(False))).withColumn("_led", F.coalesce(F.lag("_lead").over(w), F.lit(False)))
+    # a frame starts with its mark, so the first row knows whether a row before it belongs to the frame
+    placed = leads.withColumn("_p", F.row_number().over(within)).withColumn("_has", F.first("_led").over(within))
+    own = F.when((F.col("_f") > 0) & (F.col("_p") <= F.when(F.col("_has"), most - 1).otherwise(most)), F.struct(F.col("_f").alias("frame"), F.col("_p").alias("place")))
+    ahead = F.when(F.col("_lead"), F.struct((F.coalesce("_f", F.lit(0)) + 1).alias("frame"), F.lit(0).alias("place")))
+    return placed.select(*df.columns, F.explode(F.array_compact(F.array(own, ahead))).alias("_x")).select(*df.columns, "_x.frame", "_x.place")
 
 
 def trailing_island(df: DataFrame, keys: Sequence[str], place: str, dense: Column) -> DataFrame:
