@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyworks.functions import text as T
-from tallyworks.operators import evidence, matching, relational, windows
+from tallyworks.operators import evidence, geometry, matching, relational, solids, windows
 from tallyworks.plans import validation
 from tallyworks.plans.registry import query, t
 from tallyworks.sources.catalog import distinct_aliases
@@ -267,3 +267,47 @@ def comparison_report(spark, sf_dir):
     l = t(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") % 4 != 0, F.col("l_partkey").cast("string")).alias("part_number"), F.col("l_returnflag").alias("color"), F.col("l_quantity").cast("long").alias("quantity"))
     p = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("part_number"), F.lit("R").alias("color"), F.col("p_size").cast("long").alias("quantity"))
     return relational.report(l, p).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FACES = """
+WITH f AS (SELECT l_orderkey AS solid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INT AS nth, '#' || lpad(to_hex(l_suppkey * 40961 % 16777216), 6, '0') AS color,
+  (l_partkey % 50)::DOUBLE AS ax, (l_suppkey % 20)::DOUBLE AS ay, l_quantity::DOUBLE AS az, l_quantity::DOUBLE AS bx, (l_partkey % 30)::DOUBLE AS by_, (l_suppkey % 10)::DOUBLE AS bz,
+  (l_suppkey % 40)::DOUBLE AS cx, l_quantity::DOUBLE AS cy, (l_partkey % 20)::DOUBLE AS cz FROM lineitem),
+k AS (SELECT cos(radians(-35)) AS cy_, sin(radians(-35)) AS sy_, cos(radians(-26)) AS cx_, sin(radians(-26)) AS sx_, sqrt(0.45 * 0.45 + 0.75 * 0.75 + 0.55 * 0.55)::DOUBLE AS l),
+n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM f),
+v AS (SELECT *, cy_ * ax + sy_ * az AS x1, cy_ * bx + sy_ * bz AS x2, cy_ * cx + sy_ * cz AS x3,
+  cx_ * ay - sx_ * (cy_ * az - sy_ * ax) AS y1, cx_ * by_ - sx_ * (cy_ * bz - sy_ * bx) AS y2, cx_ * cy - sx_ * (cy_ * cz - sy_ * cx) AS y3,
+  (sx_ * (ay + by_ + cy) + cx_ * (cy_ * (az + bz + cz) - sy_ * (ax + bx + cx))) / 3 AS depth,
+  0.72::DOUBLE + CASE WHEN nx = 0 AND ny = 0 AND nz = 0 THEN 0 ELSE 0.28::DOUBLE * abs(-0.45::DOUBLE * nx - 0.75::DOUBLE * ny + 0.55::DOUBLE * nz) / l / sqrt(nx * nx + ny * ny + nz * nz) END AS shade FROM n, k),
+b AS (SELECT *, min(least(x1, x2, x3)) OVER w AS lx, min(least(y1, y2, y3)) OVER w AS ly, greatest(max(greatest(x1, x2, x3)) OVER w - min(least(x1, x2, x3)) OVER w, 1) AS wide,
+  greatest(max(greatest(y1, y2, y3)) OVER w - min(least(y1, y2, y3)) OVER w, 1) AS high FROM v WINDOW w AS (PARTITION BY solid)),
+s AS (SELECT *, least(76::DOUBLE / wide, 76::DOUBLE / high) AS s FROM b)
+SELECT solid, nth, row_number() OVER (PARTITION BY solid ORDER BY round(depth, 9), nth)::INT AS place, round((x1 - lx) * s + (100 - wide * s) / 2, 6) AS x, round((y1 - ly) * s + (100 - high * s) / 2, 6) AS y,
+  round(depth, 6) AS depth, round(shade, 6) AS shade FROM s"""
+
+
+@query(_FACES)
+def projected_faces(spark, sf_dir):
+    """Each order a solid, each of its lines a triangle."""
+    part, supplier, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("double")
+    point = lambda x, y, z: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+    points = F.array(point(part % 50, supplier % 20, q), point(q, part % 30, supplier % 10), point(supplier % 40, q, part % 20))
+    color = F.concat(F.lit("#"), F.lpad(F.hex(supplier * 40961 % 16777216), 6, "0"))
+    lines = windows.renumber(t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "nth")
+    seen = solids.projected(lines.select(F.col("l_orderkey").alias("solid"), "nth", color.alias("color"), points.alias("points")), ["solid"], 100)
+    first = F.get("points", F.lit(0))
+    return seen.select("solid", "nth", "place", F.round(first["x"], 6).alias("x"), F.round(first["y"], 6).alias("y"), F.round("depth", 6).alias("depth"), F.round("shade", 6).alias("shade"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN x < 25 THEN 2 * x WHEN x < 40 THEN 100 + (x - 20) * 3 END::DOUBLE AS x0, CASE WHEN x < 25 THEN y * 4 WHEN x < 40 THEN y + 7 END::DOUBLE AS y0
+FROM (SELECT *, l_quantity::DOUBLE AS x, (l_partkey % 10)::DOUBLE AS y FROM lineitem)""")
+def traced_boxes(spark, sf_dir):
+    """Boxes of no size moved back by the first of two overlapping regions; those in neither have no place."""
+    corners = lambda *v: F.struct(*[F.lit(float(x)).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), v)])
+    region = lambda target, source: F.struct(corners(*target).alias("target"), corners(*source).alias("source"))
+    regions = F.array(region((0, 0, 25, 10), (0, 0, 50, 40)), region((20, 0, 40, 10), (100, 7, 160, 17)))
+    x, y = F.col("l_quantity").cast("double"), (F.col("l_partkey") % 10).cast("double")
+    box = F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return t(spark, sf_dir, "lineitem").select(*keys, geometry.traced(box, regions).alias("b")).select(*keys, "b.x0", "b.y0")
