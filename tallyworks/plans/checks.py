@@ -8,6 +8,7 @@ from tallyworks.functions import text as T
 from tallyworks.operators import evidence, geometry, matching, relational, solids, windows
 from tallyworks.plans import validation
 from tallyworks.plans.registry import query, t
+from tallyworks.sources import ocr
 from tallyworks.sources.catalog import distinct_aliases
 
 # A part's number: its key and the sum of its digits, so that no two differ in one digit.
@@ -311,3 +312,36 @@ def traced_boxes(spark, sf_dir):
     box = F.struct(x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     return t(spark, sf_dir, "lineitem").select(*keys, geometry.traced(box, regions).alias("b")).select(*keys, "b.x0", "b.y0")
+
+
+def _nested_pages(spark, sf_dir):
+    """Orders as pages: a block for each line, its words the flag (blank for N) and the part (without a box from every fifth supplier); urgent orders have plain text only."""
+    word = lambda text, box: F.struct(text.alias("text"), F.lit(80.0).alias("confidence"), box.alias("bbox"))
+    box = F.struct(F.col("l_quantity").cast("double").alias("x0"), F.col("l_linenumber").cast("double").alias("y0"), F.lit(99.0).alias("x1"), F.lit(99.0).alias("y1"))
+    words = F.array(word(F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")), box), word(F.col("l_partkey").cast("string"), F.when(F.col("l_suppkey") % 5 > 0, box)))
+    line = F.struct(F.concat_ws(" ", "l_returnflag", "l_partkey").alias("text"), F.lit(70.0).alias("confidence"), box.alias("bbox"), words.alias("words"))
+    block = F.struct(F.array(F.struct(F.array(line).alias("lines"))).alias("paragraphs"))
+    numbered = windows.renumber(t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"], "_n")
+    pages = numbered.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("_n", block.alias("block")))).alias("b"))
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    data = F.struct(F.when(~F.col("urgent"), F.transform("b", lambda x: x["block"])).alias("blocks"), F.array_join(F.transform("b", lambda x: x["block"]["paragraphs"][0]["lines"][0]["text"]), "\r\n\n").alias("text"), F.lit(50.0).alias("confidence"))
+    return pages.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("page_number"), F.to_json(data).alias("data"))
+
+
+_NESTED = """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)::INT - 1 AS n FROM lineitem),
+x AS (SELECT l_orderkey AS page_number, n, l_quantity::DOUBLE AS x0, l_linenumber::DOUBLE AS y0, l_returnflag AS flag, l_partkey::VARCHAR AS part, l_suppkey AS s, o_orderpriority = '1-URGENT' AS urgent FROM n JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(_NESTED + """
+SELECT page_number, 2 * n AS nth, flag AS text, 80.0::DOUBLE AS confidence, x0, y0, 99.0::DOUBLE AS x1, 99.0::DOUBLE AS y1 FROM x WHERE NOT urgent AND flag <> 'N'
+UNION ALL SELECT page_number, 2 * n + 1, part, 80.0::DOUBLE, x0, y0, 99.0::DOUBLE, 99.0::DOUBLE FROM x WHERE NOT urgent AND s % 5 > 0""")
+def nested_words(spark, sf_dir):
+    return ocr.nested_words(_nested_pages(spark, sf_dir))
+
+
+@query(_NESTED + """
+SELECT page_number, CASE WHEN urgent THEN 2 * n ELSE n END AS nth, flag || ' ' || part AS text, CASE WHEN urgent THEN 50.0 ELSE 70.0 END::DOUBLE AS confidence,
+  CASE WHEN NOT urgent THEN x0 END AS x0, CASE WHEN NOT urgent THEN y0 END AS y0, CASE WHEN NOT urgent THEN 99.0 END::DOUBLE AS x1, CASE WHEN NOT urgent THEN 99.0 END::DOUBLE AS y1 FROM x""")
+def nested_lines(spark, sf_dir):
+    return ocr.nested_lines(_nested_pages(spark, sf_dir))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.functions import text as T
+from tallyworks.operators import geometry
+
+#: A page as nested JSON: blocks of paragraphs of lines of words, and its plain text.
+_BOX = "bbox STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE>"
+NESTED = f"blocks ARRAY<STRUCT<paragraphs: ARRAY<STRUCT<lines: ARRAY<STRUCT<text: STRING, confidence: DOUBLE, {_BOX.replace(' ', ': ', 1)}, words: ARRAY<STRUCT<text: STRING, confidence: DOUBLE, {_BOX.replace(' ', ': ', 1)}>>>>>>>>, text STRING, confidence DOUBLE"
 
 COLUMNS = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf"]
 WORD = 5
@@ -38,6 +43,46 @@ def lines(words: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*line).agg(joined.alias("text"), T.half_up(F.avg("confidence")).cast("int").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def _inner(outer: Column, name: str) -> Column:
+    """The arrays of that name in an array of structs, as one array; null ones are left out."""
+    return F.flatten(F.transform(F.filter(outer, lambda x: x[name].isNotNull()), lambda x: x[name]))
+
+
+def _block_lines(page: Column) -> Column:
+    return _inner(_inner(page["blocks"], "paragraphs"), "lines")
+
+
+def _traced(rows: DataFrame, item: str) -> Column:
+    box = F.col(f"{item}.bbox")
+    return F.when(box.isNotNull(), geometry.traced(box, F.col("regions"))) if "regions" in rows.columns else box
+
+
+def nested_words(pages: DataFrame) -> DataFrame:
+    """(page_number, nth, text, confidence, x0, y0, x1, y1) of the words in pages(page_number, data, perhaps regions), data nested JSON.
+
+    In the order of the data, nth counted over all words of a page. Words without text or
+    box, or in none of the page's regions, are left out; data that is no such JSON has none.
+    """
+    page = pages.withColumn("_p", F.from_json("data", NESTED))
+    each = page.select("page_number", *[c for c in ["regions"] if c in pages.columns], F.posexplode(_inner(_block_lines(F.col("_p")), "words")).alias("nth", "w"))
+    placed = each.select("page_number", "nth", F.col("w.text").alias("text"), F.col("w.confidence").alias("confidence"), _traced(each, "w").alias("b"))
+    return placed.where(F.col("text").rlike(T.NOT_BLANK) & F.col("b").isNotNull()).select("page_number", "nth", "text", "confidence", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+def nested_lines(pages: DataFrame) -> DataFrame:
+    """(page_number, nth, text, confidence, x0, y0, x1, y1) of the lines in pages like those of nested_words.
+
+    Lines of blocks, or where a page has none the lines of its plain text, with the page's
+    confidence and no box. Blank lines are left out; a line in none of the regions stays, without a box.
+    """
+    page = pages.withColumn("_p", F.from_json("data", NESTED))
+    blocks = F.transform(_block_lines(F.col("_p")), lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"), x["bbox"].alias("bbox")))
+    empty = F.lit(None).cast(f"STRUCT<{_BOX.replace(' ', ': ', 1)}>")["bbox"]
+    plain = F.transform(F.split(F.col("_p.text"), "\r?\n", -1), lambda x: F.struct(x.alias("text"), F.col("_p.confidence").alias("confidence"), empty.alias("bbox")))
+    each = page.select("page_number", *[c for c in ["regions"] if c in pages.columns], F.posexplode(F.when(F.size(blocks) > 0, blocks).otherwise(plain)).alias("nth", "l"))
+    return each.select("page_number", "nth", F.col("l.text").alias("text"), F.col("l.confidence").alias("confidence"), _traced(each, "l").alias("b")).where(F.col("text").rlike(T.NOT_BLANK)).select("page_number", "nth", "text", "confidence", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
 def first_source(*frames: DataFrame, key: str = "page_number") -> DataFrame:
     """Rows of the first table that has any for a page: rows of words, else of blocks, else of plain text."""
     out = frames[0]

@@ -117,3 +117,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q = manuals.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.awaitTermination(120)
     assert [(r.part_number, r.quantity) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [("3020", 2)]
+
+
+def test_nested_pages(spark):
+    box = lambda *v: dict(zip(("x0", "y0", "x1", "y1"), v))
+    word = {"text": "3001", "confidence": 91, "bbox": box(1, 2, 3, 4)}
+    blocks = [{"paragraphs": None}, {"paragraphs": [{"lines": [{"text": "2x 3001", "bbox": box(0, 0, 9, 9), "words": [word, {"text": " ", "bbox": box(0, 0, 1, 1)}, {"text": "x"}]}, {"text": "  "}]}, {}]}]
+    pages = [(1, {"blocks": blocks, "text": "other"}), (2, {"blocks": [], "text": "a\r\n\n b", "confidence": 7}), (3, {"blocks": [{"paragraphs": [{"lines": [{"text": " "}]}]}], "text": "hidden"}), (4, {})]
+    d = spark.createDataFrame([(n, json.dumps(p)) for n, p in pages] + [(5, "no json"), (6, None)], "page_number int, data string")
+    assert [tuple(r) for r in ocr.nested_words(d).collect()] == [(1, 0, "3001", 91.0, 1.0, 2.0, 3.0, 4.0)]
+    got = sorted((r["page_number"], r["text"], r["confidence"], r["x1"]) for r in ocr.nested_lines(d).collect())
+    assert got == [(1, "2x 3001", None, 9.0), (2, " b", 7.0, None), (2, "a", 7.0, None)]
+    b = "struct<x0: double, y0: double, x1: double, y1: double>"
+    regions = spark.createDataFrame([(1, [{"target": box(0.0, 0.0, 3.0, 4.0), "source": box(10.0, 10.0, 16.0, 14.0)}])], f"page_number int, regions array<struct<target: {b}, source: {b}>>")
+    placed = d.join(regions, "page_number")
+    assert [tuple(r)[4:] for r in ocr.nested_words(placed).collect()] == [(12.0, 12.0, 16.0, 14.0)]
+    # the line's centre lies in no region: it stays without a box
+    assert [(r["text"], r["x0"]) for r in ocr.nested_lines(placed).collect()] == [("2x 3001", None)]
