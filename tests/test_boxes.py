@@ -2,6 +2,7 @@
 
 import random
 
+from tallyworks.operators import geometry
 from tallyworks.plans import registry
 
 
@@ -19,3 +20,13 @@ def test_every_row_is_a_box(spark, tmp_path):
     )
     found = registry.queries()["point_in_box_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == expected and any(n > 1 for _, n, _, _ in expected)
+
+
+def test_equal_boxes_meet_a_point_once(spark):
+    boxes = spark.createDataFrame([(1, i, 0.0, 0.0, 5.0, 5.0) for i in range(300)] + [(1, 300, 4.0, 4.0, 6.0, 6.0), (2, 301, 0.0, 0.0, 5.0, 5.0), (1, 302, 0.0, None, 5.0, 5.0)], "g int, box int, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, "a", 4.5, 4.5), (1, "b", 5.0, 5.0), (2, "c", 5.0, 0.0), (1, "d", -0.0, 0.0), (1, "e", float("nan"), 1.0)], "g int, p string, x double, y double")
+    found = geometry.points_in_boxes(points, boxes, ["g"], 4.0, 4.0)
+    assert found.columns == ["g", "p", "x", "y", "box", "x0", "y0", "x1", "y1"]
+    assert sorted((r.p, r.box, r.x1) for r in found.collect()) == [*(("a", i, 5.0) for i in range(300)), ("a", 300, 6.0), ("b", 300, 6.0), *(("d", i, 5.0) for i in range(300))]
+    # what enters the join is the distinct boxes, with lists
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
