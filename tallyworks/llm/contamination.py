@@ -1,17 +1,18 @@
 """Operator 2: benchmark decontamination by latent semantic retrieval.
 
-Passages are TF-IDF vectors of hashed words (document frequencies over all documents),
-projected on the leading right singular vectors of a passage matrix, which a distributed
-randomised SVD finds: tasks multiply their passages, the driver orthogonalises a matrix
-of fixed size. Each document is read once: prefix sums of its projected words give the
-vectors of all its windows, their cosines with the benchmark's passages the candidates,
-and a candidate is checked by the longest common subsequence of words, with a check of the
-item's answer where the words differ much.
+Passages are TF-IDF vectors of hashed words, projected on the leading right singular vectors
+of the matrix of all passages: those of the benchmark, and those of the documents through a
+linear sketch. One pass over all documents counts the documents that have each word, and adds
+each passage, under a sign of its own, to one of SKETCH rows, whose products are in the mean
+those of the passages themselves; none is left out. One task finds the vectors of the sketch
+and the benchmark's passages. Then each document is read once: prefix sums of its projected
+words give the vectors of all its windows, their cosines with the benchmark's passages the
+candidates, and a candidate is checked by the longest common subsequence of words, with a
+check of the item's answer where the words differ much.
 
 The benchmark is the query set. It is cut into blocks of about ITEMS passages, as many as
 LATENT dimensions hold apart; each block has a space of its own and is searched against
-all documents. Only the SVD is fitted on a sample: all passages of the block and one
-passage each of at most about SAMPLE documents.
+all documents.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import done_with, keep, small_batches, table, text_of
 
-#: Hashed dimensions, latent dimensions, power iterations, sampled documents, passages of a block: more of them need more dimensions.
-DIMENSIONS, LATENT, POWER, SAMPLE, ITEMS = 1 << 15, 96, 2, 4_000, 500
+#: Hashed dimensions, latent dimensions, rows of the sketch, passages of a block: more of them need more dimensions.
+DIMENSIONS, LATENT, SKETCH, ITEMS = 1 << 15, 96, 512, 500
+#: What all passages of the documents weigh together, as passages, so that the benchmark's don't drown in a large corpus.
+DOCUMENTS = 4_000
 #: Weight of a benchmark passage beside a document's in the matrix.
 QUERY = 10.0
 #: Words of a query passage at most, and (longest passage, window, stride): each place of a passage lies whole in a window.
@@ -89,26 +92,54 @@ def subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many documents have each dimension, and how many there are; DIMENSIONS rows at most reach the driver."""
+def _signs(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of texts its passage's row of the sketch and sign, from the texts' hashes and numbers of words."""
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    z = np.repeat(rows.view(np.uint64), lengths) + (place // PASSAGE).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    z ^= z >> np.uint64(32)
+    return (z % np.uint64(SKETCH)).astype(np.int64), 1 - 2 * (z >> np.uint64(63)).astype(np.float32)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows (row, v) of DIMENSIONS numbers: the sketch of all passages, as 4-byte floats, and in row -1 how many documents have each dimension, and how many there are, as longs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, df, n = Hasher(), np.zeros(DIMENSIONS, np.int64), 0
+        hashed, df, n = Hasher(), np.zeros(DIMENSIONS + 1, np.int64), 0
+        sketch = np.zeros(SKETCH * DIMENSIONS, np.float32)
+        for pdf in batches:
+            ids = [hashed(tokens(t)) for t in pdf["text"]]
+            for i in ids:
+                df[i] += 1  # a place counts once, however often it is there
+            n += len(ids)
+            if ids:
+                at, sign = _signs(pdf["h"].to_numpy(), np.array([len(i) for i in ids]))
+                np.add.at(sketch, at * DIMENSIONS + np.concatenate(ids), sign)
+        df[-1] = n
+        yield pd.DataFrame({"row": [-1], "i": [None], "v": [df.astype("<i8").tobytes()]})
+        for low in range(0, SKETCH, 32):
+            own = sketch[low * DIMENSIONS : (low + 32) * DIMENSIONS].reshape(-1, DIMENSIONS)
+            some = [np.flatnonzero(x) for x in own]
+            yield pd.DataFrame({"row": range(low, low + len(own)), "i": [i.astype("<u2").tobytes() for i in some], "v": [x[i].astype("<f4").tobytes() for x, i in zip(own, some, strict=True)]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of the tasks' rows, sorted by row."""
+        row, total = None, None
         for pdf in batches:
-            for t in pdf["text"]:
-                df[hashed(set(tokens(t)))] += 1  # a place that two words share counts once
-                n += 1
-        some = np.nonzero(df)[0]
-        yield pd.DataFrame({"i": np.append(some, -1), "n": np.append(df[some], n)})
-
-    got = docs.select(text_of(docs).cast("binary").alias("text")).mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(DIMENSIONS), 0
-    for r in got:
-        if r["i"] < 0:
-            n = r["n"]
-        else:
-            df[r["i"]] = r["n"]
-    return df, n
+            for r, i, v in zip(pdf["row"].tolist(), pdf["i"], pdf["v"], strict=True):
+                if r != row:
+                    if total is not None:
+                        yield pd.DataFrame({"row": [row], "v": [total.tobytes()]})
+                    row, total = r, np.zeros(DIMENSIONS + 1, "<i8") if r < 0 else np.zeros(DIMENSIONS, "<f4")
+                if r < 0:
+                    total += np.frombuffer(v, "<i8")
+                else:
+                    total[np.frombuffer(i, "<u2")] += np.frombuffer(v, "<f4")
+        if total is not None:
+            yield pd.DataFrame({"row": [row], "v": [total.tobytes()]})
+
+    texts = docs.select(text_of(docs).cast("binary").alias("text"), F.xxhash64("doc_id", text_of(docs)).alias("h"))
+    return texts.mapInPandas(count, "row int, i binary, v binary").repartition("row").sortWithinPartitions("row").mapInPandas(add, "row int, v binary")
 
 
 def _weights(df: np.ndarray, n: int) -> np.ndarray:
@@ -116,45 +147,40 @@ def _weights(df: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(np.log((n + 1) / (df + 1)) - min(np.log(5), np.log(n + 1) / 2), 0.01)
 
 
-def latent(passages: DataFrame, weights: np.ndarray, size: int = LATENT, power: int = POWER) -> np.ndarray:
-    """Leading right singular vectors, as columns, of the TF-IDF matrix of passages(text, weight), by a randomised SVD.
+def latent(passages: DataFrame, weights: np.ndarray, size: int = LATENT) -> np.ndarray:
+    """Leading right singular vectors, as columns, of the TF-IDF matrix of a block's passages(text) and the rows (v) of the sketch.
 
-    The driver holds matrices of DIMENSIONS x size only, one sum of the tasks' products and
-    one basis, and lets each broadcast go when its job is done.
+    The matrix has a fixed number of rows, about, and one task holds it; the driver gets the vectors.
     """
-    context = passages.sparkSession.sparkContext
-
-    def product(basis: np.ndarray, gram: bool = False) -> np.ndarray:
-        shape = (basis.shape[1],) * 2 if gram else basis.shape
-        sent = context.broadcast(basis)
-
-        def times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashed, own = Hasher(), sent.value
-            total = np.zeros(shape, np.float32)
-            for pdf in batches:
-                for text, weight in zip(pdf["text"], pdf["weight"], strict=True):
-                    i = hashed(tokens(text))
-                    if not len(i):
-                        continue
-                    v = weights[i] / max(np.sqrt((weights[i] ** 2).sum()), 1e-9) * weight
-                    y = (v[:, None] * own[i]).sum(0)
-                    if gram:
-                        total += np.outer(y, y)
-                    else:
-                        np.add.at(total, i, (v[:, None] * y).astype(np.float32))
-            yield pd.DataFrame({"m": [total.astype("<f4").tobytes()]})
-
-        out = np.zeros(shape, np.float32)
-        for r in passages.mapInPandas(times, "m binary").toLocalIterator():
-            out += np.frombuffer(r["m"], "<f4").reshape(shape)
-        sent.destroy()
-        return out
 
-    basis = np.random.default_rng(7).standard_normal((DIMENSIONS, size), np.float32)
-    for _ in range(power):
-        basis = np.linalg.qr(product(basis))[0]
-    values, vectors = np.linalg.eigh(product(basis, gram=True).astype(np.float64))
-    return (basis @ vectors[:, ::-1].astype(np.float32)).astype(np.float32)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed, own, w = Hasher(), [], weights.astype(np.float32)
+        sketch = []
+        for pdf in batches:
+            for text, v in zip(pdf["text"], pdf["v"], strict=True):
+                if v is not None:
+                    sketch.append(np.frombuffer(v, "<f4") * w)
+                    continue
+                i = hashed(tokens(text))
+                if len(i):
+                    x = np.bincount(i, weights[i], DIMENSIONS).astype(np.float32)
+                    own.append(x / max(np.sqrt((weights[i] ** 2).sum()), 1e-9) * QUERY)
+        energy = sum(float(np.dot(x, x)) for x in sketch)
+        for x in sketch:
+            x *= np.float32(np.sqrt(DOCUMENTS / max(energy, 1e-9)))
+        a = np.stack(sketch + own) if sketch or own else np.zeros((1, DIMENSIONS), np.float32)
+        del sketch, own
+        values, vectors = np.linalg.eigh((a @ a.T).astype(np.float64))
+        some = np.flatnonzero(values > max(values[-1], 1e-9) * 1e-7)[::-1][:size]
+        out = np.zeros((DIMENSIONS, size), np.float32)
+        out[:, : len(some)] = a.T @ (vectors[:, some] / np.sqrt(values[some])).astype(np.float32)
+        for i in range(0, DIMENSIONS, 2048):  # small rows, so that the driver needs no large buffers
+            yield pd.DataFrame({"i": [i], "m": [out[i : i + 2048].astype("<f4").tobytes()]})
+
+    out = np.zeros((DIMENSIONS, size), np.float32)
+    for r in passages.repartition(1).sortWithinPartitions("n").mapInPandas(fit, "i int, m binary").toLocalIterator():
+        out[r["i"] : r["i"] + 2048] = np.frombuffer(r["m"], "<f4").reshape(-1, size)
+    return out
 
 
 class Index:
@@ -252,32 +278,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = keep(benchmark.select(F.col("item_id").try_cast("long").alias("item_id"), text_of(benchmark).alias("text")).where("text <> ''"), "items")
     # about as many passages as parts() cuts
     n_items, n_parts = items.select(F.count(F.lit(1)), F.sum(F.ceil(F.size(F.split("text", r"[^\p{L}\p{N}]+")) / PASSAGE))).first()
-    df, n = document_frequencies(docs)
-    if not n_items or not n:
+    sums = keep(counted(docs), "sums") if n_items else None
+    first = sums.where("row = -1").agg(F.max("v")).first()[0] if n_items else None
+    if first is None or not (n := int(np.frombuffer(first, "<i8")[-1])):
         return spark.createDataFrame([], schema)
-    weights = _weights(df, n)
-    step = max(1, n // SAMPLE)
-    # one passage of each sampled document, at a place that its hash gives
-    words = F.split("text", r"[ \t-\r]+")
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(words) - PASSAGE, F.lit(1))).cast("int") + 1
-    some = docs.select("doc_id", text_of(docs).alias("text")).where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(step)) == 0)
-    drawn = keep(some.select(F.array_join(F.slice(words, at, PASSAGE), " ").cast("binary").alias("text"), F.lit(1.0).alias("weight")), "drawn")
+    weights = _weights(np.frombuffer(first, "<i8")[:-1].astype(np.float64), n)
+    sketch = sums.where("row >= 0").select(F.lit(None).cast("binary").alias("text"), "v", F.col("row").alias("n"))
     blocks = -(-n_parts // ITEMS)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = None
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.where(block == b).collect()]
-        queries = spark.createDataFrame([(b" ".join(p), QUERY) for _, t in own for p in parts(tokens(t.encode()))], "text binary, weight double")
-        # few tasks: each sends a matrix to the driver
-        passages = keep(drawn.unionByName(queries).repartition(3), "passages")
-        space = (latent(passages, weights) * weights[:, None]).astype(np.float32)
-        done_with(passages)
+        cut = [b" ".join(p) for _, t in own for p in parts(tokens(t.encode()))]
+        queries = spark.createDataFrame([(p, None, SKETCH + i) for i, p in enumerate(cut)], "text binary, v binary, n int")
+        space = latent(sketch.unionByName(queries), weights)
+        space *= weights.astype(np.float32)[:, None]
         index = spark.sparkContext.broadcast(Index(own, space))  # ITEMS passages and a matrix of fixed size
         del space
         # written, so that no more than one block's matrix is held
         part = keep(found_in(docs, index, schema), "found")
         index.destroy()
         found = part if found is None else found.unionByName(part)
+    done_with(sums)
     return found
 
 

@@ -193,3 +193,19 @@ def test_near_copies_are_dropped_by_row(spark):
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     got = sorted(map(tuple, out.collect()), key=str)
     assert len(got) == 4 and {(2, b), (5, a), rows[-1]} <= set(got) and [i for i, _ in got].count(7) == 1
+
+
+def test_every_passage_counts_in_the_space(spark):
+    texts = [f"w{i} w{i % 7} both w{i * i % 11}" for i in range(300)] + [" ".join(f"l{j}" for j in range(200)), "", None, "both both"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["row"]: r["v"] for r in contamination.counted(docs).collect()}
+    df = np.frombuffer(rows.pop(-1), "<i8")
+    at = lambda w: contamination.Hasher()[w]
+    assert df[-1] == len(texts) and df[at(b"both")] == 301 and df[at(b"l199")] >= 1
+    # of each word of its own one passage has it, so one row of the sketch, under a sign
+    sketch = np.stack([np.frombuffer(v, "<f4") for v in rows.values()])
+    words = {w for t in texts if t for w in t.encode().split()}
+    alone = [w for w in words if sum(at(x) == at(w) for x in words) == 1 and sum(w in (t or "").encode().split() for t in texts) == 1]
+    assert len(alone) > 200 and all(np.abs(sketch[:, at(w)]).sum() in (1, 2) for w in alone)
+    # products of words are in the mean those of the passages: 301 of them have the word, one twice
+    assert 150 < (sketch[:, at(b"both")] ** 2).sum() < 600
