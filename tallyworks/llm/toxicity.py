@@ -5,9 +5,10 @@ unlabelled text. A linear model over words, word beginnings and word ends is fit
 numpy to the non-negative risk ``prior * R+(P) + max(0, R-(U) - prior * R-(P))``, where
 ``prior`` is the toxic share among the labels learned from. Only the text is an input.
 
-Fitting uses a bounded sample: at most POSITIVES toxic and UNLABELLED labelled documents,
-the first in hash order of their ids, each once. It is fitted in one task, which the bound
-allows, so that the driver sees weights only. Scoring covers every row.
+Every labelled document that may be learned from is, each once. Tasks count features and
+reduce a text to those of the model; texts that have the same ones are one row with their
+numbers, most having none. One task fits these rows, so that the driver sees weights only.
+Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import done_with, keep, small_batches, table, text_of
 
-POSITIVES, UNLABELLED = 4_000, 12_000
 #: A feature occurs in so many positives at least, so many times as often as in other text by
 #: the prior-corrected estimate, and so many standard errors from no difference.
 LEAST, LIFT, SURE = 4, 4.0, 2.7
 STEPS, RATE, DECAY = 500, 0.05, 1e-5
 TOXIC = 0.7
-#: Words remembered by a worker with their weights.
-MEMO = 400_000
+#: Words remembered by a worker with their weights; words with their features, and features that a task counts before it passes them on.
+MEMO, WORDS, HELD = 400_000, 20_000, 100_000
+#: Features of rows that a step of the fit handles at a time, about.
+CHUNK = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,24 +72,33 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "memo": {}}
 
 
-def fit(d: np.ndarray, f: np.ndarray, p: np.ndarray, u: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
+def fit(chunks: list[tuple[np.ndarray, np.ndarray, int]], p: np.ndarray, u: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the non-negative risk's minimum.
 
-    Text d[i] has feature f[i], perhaps more than once; p and u mark the positives and the
-    unlabelled texts, and a text may be both.
+    Row i stands for p[i] positives and u[i] unlabelled texts with the same features; a text
+    may be both. Of a chunk (d, f, n) of n rows row d[i] has feature f[i], perhaps more than once;
+    its rows follow those of the chunk before.
     """
     w, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
+    ends = np.cumsum([0, *(n for _, _, n in chunks)])
+    n_p, n_u = p.sum(), u.sum()
     for t in range(1, STEPS + 1):
-        z = np.clip(bias + np.bincount(d, w[f], len(p)), -30, 30)
+        z = np.full(len(p), bias)
+        for (d, f, _), lo, hi in zip(chunks, ends, ends[1:], strict=False):
+            z[lo:hi] += np.bincount(d, w[f], hi - lo)
+        z = np.clip(z, -30, 30)
         s = 1 / (1 + np.exp(-z))
         # logistic losses: log(1 + exp(-z)) for label 1, log(1 + exp(z)) for label 0
         negative = np.logaddexp(0, z)
-        rest = negative[u].mean() - prior * negative[p].mean()
-        up = np.where(p, prior * (s - 1) / p.sum(), 0)
-        down = np.where(u, s / u.sum(), 0) - np.where(p, prior * s / p.sum(), 0)
+        rest = (u * negative).sum() / n_u - prior * (p * negative).sum() / n_p
+        up = p * prior * (s - 1) / n_p
+        down = u * s / n_u - p * prior * s / n_p
         g = up + down if rest >= 0 else -down
-        grad = np.concatenate((np.bincount(f, g[d], size) + DECAY * w, [g.sum()]))
+        sums = DECAY * w
+        for (d, f, _), lo in zip(chunks, ends, strict=False):
+            sums += np.bincount(f, g[lo + d], size)
+        grad = np.concatenate((sums, [g.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -95,12 +106,30 @@ def fit(d: np.ndarray, f: np.ndarray, p: np.ndarray, u: np.ndarray, size: int, p
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Feature counts of a task: rows (f, n), n texts having it."""
+    """Feature counts of a task: rows (f, p, u), p toxic ones of u texts having it."""
+    memo: dict[str, list[str]] = {}
+    toxic, every = Counter(), Counter()
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"f": pd.Series(list(every), dtype=object), "p": pd.Series([toxic[f] for f in every], dtype="int64"), "u": pd.Series(list(every.values()), dtype="int64")})
+
     for pdf in batches:
-        seen: Counter[str] = Counter()
-        for t in pdf["text"]:
-            seen.update({f for w in _words(t) for f in features(w)})
-        yield pd.DataFrame({"f": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+        for p, t in zip(pdf["p"].tolist(), pdf["text"], strict=True):
+            own: set[str] = set()
+            for w in _words(t):
+                if w not in memo:
+                    if len(memo) >= WORDS:
+                        memo.clear()
+                    memo[w] = features(w)
+                own.update(memo[w])
+            every.update(own)
+            if p:
+                toxic.update(own)
+        if len(every) > HELD:
+            yield rows()
+            toxic.clear()
+            every.clear()
+    yield rows()
 
 
 def learn(docs: DataFrame, labels: DataFrame, excluded: Column | None = None) -> Model:
@@ -110,55 +139,69 @@ def learn(docs: DataFrame, labels: DataFrame, excluded: Column | None = None) ->
     another labelled text the model scores every text 0.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    if excluded is not None:
-        marked = marked.where(~excluded)
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marked.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    order = F.xxhash64("doc_id")
-    chosen = (
-        marked.where("toxic = 1").orderBy(order).limit(POSITIVES).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-        .unionByName(marked.orderBy(order).limit(UNLABELLED).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
-        .groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
-    )
     texts = docs.select("doc_id", text_of(docs).alias("text"))
-    # POSITIVES + UNLABELLED ids at most; of a repeated id one text
-    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("p").alias("p"), F.first("u").alias("u"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = keep(once.select("p", "u", "text"), "toxicity")
-    n_p, n_u = sample.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
+    if excluded is not None:
+        marked, texts = marked.where(~excluded), texts.where(~excluded)
+    marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("p"))
+    share = marked.agg(F.avg("p")).first()[0]
+    # of a repeated id one text
+    once = texts.join(marked, "doc_id").groupBy("doc_id").agg(F.first("p").alias("p"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    known = keep(once.select("p", "text"), "toxicity")
+    n_p, n_u = known.agg(F.coalesce(F.sum("p"), F.lit(0)), F.count(F.lit(1))).first()
     if not n_p or not n_u or share >= 1:
-        done_with(sample)
+        done_with(known)
         return Model({}, -30.0)
     prior = float(np.clip(share, 0.001, 0.9))
-    spread = sample.repartition(max(12, sample.sparkSession.sparkContext.defaultParallelism))
-    count = lambda df: df.select("text").mapInPandas(_counts, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    often = count(spread.where("p = 1")).where(F.col("n") >= LEAST).select("f", F.col("n").alias("p"))
-    rare = count(spread.where("u = 1")).select("f", F.col("n").alias("u"))
+    small_batches(docs.sparkSession)
+    spread = known.repartition(max(12, known.sparkSession.sparkContext.defaultParallelism))
+    counted = spread.mapInPandas(_counts, "f string, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
     # what a feature's rate would be in text that isn't toxic, never under half a text
-    other = F.greatest(F.coalesce("u", F.lit(0)) / n_u - prior * F.col("p") / n_p, F.lit(0.5 / n_u))
+    other = F.greatest(F.col("u") / n_u - prior * F.col("p") / n_p, F.lit(0.5 / n_u))
     lift = F.col("p") / n_p / other
     sure = F.log(lift) / F.sqrt(1 / F.col("p") + 1 / (other * n_u))
-    strong = often.join(rare, "f", "left").select("f", "p", lift.alias("lift"), sure.alias("sure")).where((F.col("lift") >= LIFT) & (F.col("sure") >= SURE))
-    names = [r["f"] for r in strong.orderBy(F.desc("sure"), "f").collect()]  # features of the sample, which is bounded
+    strong = counted.select("f", lift.alias("lift"), sure.alias("sure")).where((F.col("lift") >= LIFT) & (F.col("sure") >= SURE))
+    names = [r["f"] for r in strong.orderBy(F.desc("sure"), "f").collect()]  # the features of the model
     number = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple[int, ...]] = {}
         for pdf in batches:
-            yield pd.DataFrame({"p": pdf["p"], "u": pdf["u"], "x": [sorted(number[f] for w in _words(t) for f in features(w) if f in number) for t in pdf["text"]]})
+            out = []
+            for t in pdf["text"]:
+                own: list[int] = []
+                for w in _words(t):
+                    if w not in memo:
+                        if len(memo) >= WORDS:
+                            memo.clear()
+                        memo[w] = tuple(number[f] for f in features(w) if f in number)
+                    own += memo[w]
+                out.append(sorted(own))
+            yield pd.DataFrame({"p": pdf["p"], "x": out})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, p, u = [np.zeros(0, np.int32)], [], []
+        chunks, held, p, u = [], [], [], []
+
+        def close() -> None:
+            lengths = [len(x) for x in held]
+            d, f = np.repeat(np.arange(len(held), dtype=np.int32), lengths), np.concatenate([np.zeros(0, np.int32), *held])
+            chunks.append((d, f, len(held)))
+            held.clear()
+
         for pdf in batches:
-            parts += [np.asarray(x, np.int32) for x in pdf["x"]]
-            p.append(pdf["p"].to_numpy() == 1)
-            u.append(pdf["u"].to_numpy() == 1)
-        lengths = [len(x) for x in parts[1:]]
-        w, bias = fit(np.repeat(np.arange(len(lengths)), lengths), np.concatenate(parts), np.concatenate(p), np.concatenate(u), len(number), prior)
+            held += [np.asarray(x, np.int32) for x in pdf["x"]]
+            p.append(pdf["p"].to_numpy(np.float64))
+            u.append(pdf["u"].to_numpy(np.float64))
+            if sum(map(len, held)) > CHUNK:
+                close()
+        close()
+        w, bias = fit(chunks, np.concatenate([np.zeros(0), *p]), np.concatenate([np.zeros(0), *u]), len(number), prior)
         yield pd.DataFrame({"i": np.arange(-1, len(w)), "w": np.append(bias, w)})
 
+    alike = spread.mapInPandas(rows, "p int, x array<int>").groupBy("x").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("u"))
     # sorted, so that the order of sums and with it the fit is the same each time
-    one = spread.mapInPandas(rows, "p int, u int, x array<int>").repartition(1).sortWithinPartitions("p", "u", "x")
+    one = alike.repartition(1).sortWithinPartitions("x")
     found = {r["i"]: r["w"] for r in one.mapInPandas(fitted, "i long, w double").collect()}
-    done_with(sample)
+    done_with(known)
     return Model({f: found[i] for i, f in enumerate(names) if found[i]}, found[-1])
 
 

@@ -7,6 +7,9 @@ import numpy as np
 import pytest
 from brute import prose
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from tallyworks.llm import contamination, html, simhash, toxicity
 
 
@@ -209,3 +212,13 @@ def test_every_passage_counts_in_the_space(spark):
     assert len(alone) > 200 and all(np.abs(sketch[:, at(w)]).sum() in (1, 2) for w in alone)
     # products of words are in the mean those of the passages: 301 of them have the word, one twice
     assert 150 < (sketch[:, at(b"both")] ** 2).sum() < 600
+
+
+def test_toxicity_learns_from_every_label(spark):
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(100)).alias("r"), F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("n")).where("r < 95")
+    toxic = F.col("r") < 40
+    # toxic texts have one word, but the last ones in hash order another
+    text = F.when(~toxic, F.concat(F.lit("plain words "), F.col("doc_id").cast("string"))).when(F.col("n") > 12_500, "some zorblax here").otherwise("some quexity here")
+    table = docs.select("doc_id", text.alias("text"), toxic.cast("int").alias("toxic")).localCheckpoint()
+    model = toxicity.learn(table, table)
+    assert model.score("zorblax") > toxicity.TOXIC and model.score("quexity") > toxicity.TOXIC and model.score("plain words") < toxicity.TOXIC
