@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,8 @@ QUERY = 10.0
 PASSAGE, SCALES = 64, ((24, 32, 8), (48, 64, 16), (64, 96, 32))
 #: Least cosine of a candidate; least share of an item's words in the common subsequence; the share from which the answer is not asked for.
 COSINE, SHARED, SURE = 0.35, 0.6, 0.8
+#: Longest word, in bytes, whose checksum is found together with those of other words.
+LETTERS = 64
 #: Words handled at a time: a multiple of every stride.
 TOKENS = 49_152
 #: Every stride is a multiple of this one.
@@ -66,7 +68,7 @@ def parts(words: list[bytes]) -> list[list[bytes]]:
 
 
 class Hasher(dict):
-    """Words to dimensions, remembered."""
+    """Words to dimensions, remembered; for few words, while those of documents go through dimensions()."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -78,6 +80,41 @@ class Hasher(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded texts in one string, the places there where the words of all texts begin and end, and the texts' numbers of words; the words are those of tokens()."""
+    folded = b" ".join([b"", *texts, b""]).translate(_FOLD)
+    blank = np.frombuffer(folded, np.uint8) == 32
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2].copy(), edges[1::2].copy()
+    return folded, starts, ends, np.diff(np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+
+
+def _checksums() -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32, modulo DIMENSIONS, of zeros only, by their number; and what a byte adds to it, by the number of bytes after it."""
+    zeros = np.array([zlib.crc32(bytes(n)) % DIMENSIONS for n in range(LETTERS + 1)], np.uint16)
+    return zeros, np.array([[(zlib.crc32(bytes([c]) + bytes(n)) ^ zlib.crc32(bytes(n + 1))) % DIMENSIONS for c in range(256)] for n in range(LETTERS)], np.uint16)
+
+
+def dimensions(folded: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The dimensions of the words of a folded string, those of Hasher: a checksum is the exclusive or of what its bytes add, so a step takes the words' last letters, the next one those before, and so on."""
+    letters, (zeros, adds), out = np.frombuffer(folded, np.uint8), _CHECKSUMS, np.empty(len(starts), np.int64)
+    for low in range(0, len(starts), 16_384):
+        s, e = starts[low : low + 16_384], ends[low : low + 16_384]
+        length = np.minimum(e - s, LETTERS)
+        order = np.argsort((LETTERS - length).astype(np.uint8), kind="stable")  # longest first
+        x, last = zeros[length[order]], e[order] - 1
+        for n, some in enumerate(len(s) - np.cumsum(np.bincount(length))[:-1]):
+            x[:some] ^= adds[n].take(letters.take(last[:some] - n))
+        own = out[low : low + 16_384]
+        own[order] = x
+        for j in np.flatnonzero(e - s > LETTERS).tolist():
+            own[j] = zlib.crc32(folded[s[j] : e[j]]) % DIMENSIONS
+    return out
+
+
+_CHECKSUMS = _checksums()
+
+
 def subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     places: dict[bytes, int] = {}
@@ -105,16 +142,16 @@ def counted(docs: DataFrame) -> DataFrame:
     """Rows (row, v) of DIMENSIONS numbers: the sketch of all passages, as 4-byte floats, and in row -1 how many documents have each dimension, and how many there are, as longs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, df, n = Hasher(), np.zeros(DIMENSIONS + 1, np.int64), 0
+        df, n = np.zeros(DIMENSIONS + 1, np.int64), 0
         sketch = np.zeros(SKETCH * DIMENSIONS, np.float32)
         for pdf in batches:
-            ids = [hashed(tokens(t)) for t in pdf["text"]]
-            for i in ids:
+            *words, lengths = words_of(pdf["text"].tolist())
+            ids = dimensions(*words)
+            for i in np.split(ids, np.cumsum(lengths)[:-1]):
                 df[i] += 1  # a place counts once, however often it is there
-            n += len(ids)
-            if ids:
-                at, sign = _signs(pdf["h"].to_numpy(), np.array([len(i) for i in ids]))
-                np.add.at(sketch, at * DIMENSIONS + np.concatenate(ids), sign)
+            n += len(lengths)
+            at, sign = _signs(pdf["h"].to_numpy(), lengths)
+            np.add.at(sketch, at * DIMENSIONS + ids, sign)
         df[-1] = n
         yield pd.DataFrame({"row": [-1], "i": [None], "v": [df.astype("<i8").tobytes()]})
         for low in range(0, SKETCH, 32):
@@ -210,50 +247,66 @@ class Index:
         """As it was, and which dimensions each item has: made anew by each worker, as it is larger than what it is made of."""
         self.__dict__ = state
         hashed = Hasher()
-        self.has = np.zeros((len(self.words), DIMENSIONS + 1), bool)
-        for k, w in enumerate(self.words):
-            self.has[k, hashed(w)] = True
-
-    def search(self, texts: list[list[bytes]], hashed: Hasher) -> list[tuple[int, int, int, int]]:
-        """(text number, item number, start, end) of the windows near a passage of an item that hold enough of its words."""
-        lengths = np.array([len(t) for t in texts])
+        own = [hashed(w) for w in self.words]
+        # dimensions that no item has are column 0
+        known = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]))
+        self.column = np.zeros(DIMENSIONS + 1, np.int64)
+        self.column[known] = np.arange(1, len(known) + 1)
+        self.has = np.zeros((len(own), len(known) + 1), np.uint8)
+        for k, i in enumerate(own):
+            self.has[k, self.column[i]] = 1
+
+    def search(self, lengths: np.ndarray, dims: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text number, item number, start, end) of the windows near a passage of an item that hold enough of its words; from the texts' numbers of words and the dimensions of their words."""
         padded = -(-lengths // STRIDE) * STRIDE
         first = np.concatenate(([0], np.cumsum(padded)))
         ids = np.full(first[-1] + max(w for _, w, _ in SCALES), DIMENSIONS, np.int64)
-        ids[np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())] = hashed([w for t in texts for w in t])
+        ids[np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())] = dims
         cells = ids[: first[-1]].reshape(-1, STRIDE)
         sums = np.zeros((len(cells) + 1, self.space.shape[1]), np.float32)
-        for i in range(0, len(cells), 1024):
+        for i in range(0, len(cells), 256):
             for j in range(STRIDE):
-                sums[i + 1 : i + 1025] += self.space[cells[i : i + 1024, j]]
+                sums[i + 1 : i + 257] += self.space.take(cells[i : i + 256, j], 0, mode="clip")
         np.cumsum(sums, axis=0, out=sums)
+        column = self.column[ids]
+        # how many words before each cell are in any item
+        known = np.concatenate(([0], np.cumsum((column[: first[-1]] > 0).reshape(-1, STRIDE).sum(1))))
         first //= STRIDE
         out = []
         for (_, window, stride), owner, q in zip(SCALES, self.owner, self.queries, strict=True):
             if not len(owner):
                 continue
             n = np.maximum(1, -(-(lengths - window) // stride) + 1) * (lengths > 0)
-            doc = np.repeat(np.arange(len(texts)), n)
+            doc = np.repeat(np.arange(len(lengths)), n)
             s = (np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)) * stride
             e = np.minimum(s + window, lengths[doc])
+            low, high, near = first[doc] + s // STRIDE, first[doc] - -e // STRIDE, []
             for i in range(0, len(doc), 1024):
-                d, a, b = doc[i : i + 1024], s[i : i + 1024], e[i : i + 1024]
-                v = sums[first[d] - -b // STRIDE] - sums[first[d] + a // STRIDE]
+                v = sums.take(high[i : i + 1024], 0, mode="clip")
+                v -= sums.take(low[i : i + 1024], 0, mode="clip")
                 v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)[:, None]
-                w, k = np.divmod(np.flatnonzero(v @ q >= COSINE), len(owner))
-                k = owner[k]
-                inside = ids[(first[d[w]] * STRIDE + a[w])[:, None] + np.arange(window)]
-                # no common subsequence is longer than the count of words that are in the item at all
-                some = self.has[k[:, None], inside].sum(1) >= self.least[k]
-                out += zip(d[w[some]].tolist(), k[some].tolist(), a[w[some]].tolist(), b[w[some]].tolist(), strict=True)
+                near.append(np.flatnonzero(v @ q >= COSINE) + i * len(owner))
+            w, k = np.divmod(np.concatenate([*near, np.zeros(0, np.int64)]), len(owner))
+            k = owner[k]
+            # no common subsequence is longer than the count of words that are in any item, or in the item
+            some = known[high[w]] - known[low[w]] >= self.least[k]
+            w, k = w[some], k[some]
+            for i in range(0, len(w), 16_384):
+                own, item = w[i : i + 16_384], k[i : i + 16_384]
+                at, row, there = low[own] * STRIDE, item * self.has.shape[1], np.zeros(len(own), np.int64)
+                for j in range(window):
+                    there += self.has.take(row + column.take(at + j, mode="clip"), mode="clip")
+                some = there >= self.least[item]
+                own, item = own[some], item[some]
+                out += zip(doc[own].tolist(), item.tolist(), s[own].tolist(), e[own].tolist(), strict=True)
         return out
 
-    def check(self, words: list[bytes], k: int, s: int, e: int) -> tuple[int, int, int] | None:
-        """(common words, start, end) of item k around the window [s, e), if it is the item or a paraphrase."""
+    def check(self, words: Callable[[int, int], list[bytes]], n: int, k: int, s: int, e: int) -> tuple[int, int, int] | None:
+        """(common words, start, end) of item k around the window [s, e), if it is the item or a paraphrase; words(s, e) are those of a text of n."""
         item, own = self.words[k], self.counts[k]
         if len(item) > PASSAGE:
-            s, e = max(0, s - len(item)), min(len(words), e + len(item))
-        there = words[s:e]
+            s, e = max(0, s - len(item)), min(n, e + len(item))
+        there = words(s, e)
         # the common subsequence is no longer than the words in common, each as often as both have it
         if sum(min(n, own[w]) for w, n in Counter(filter(own.__contains__, there)).items()) < SHARED * len(item):
             return None
@@ -303,35 +356,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def segments(texts: list[list[bytes]]) -> Iterator[tuple[list[tuple[int, int]], list[list[bytes]]]]:
-    """The texts in lots of about TOKENS words: (text number, first word) of each segment, and the segments.
+def segments(lengths: list[int]) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+    """Texts of so many words in lots of about TOKENS words: (text number, first word) of each segment, and the segments' numbers of words.
 
     A longer text is cut into segments that overlap by the longest window, so each window lies in one.
     """
     places, lot, held = [], [], 0
-    for d, words in enumerate(texts):
-        for o in range(0, max(1, len(words)), TOKENS):
-            part = words[o : o + TOKENS + SCALES[-1][1]] if len(words) > TOKENS else words
-            if lot and held + len(part) > TOKENS:
+    for d, n in enumerate(lengths):
+        for o in range(0, max(1, n), TOKENS):
+            part = min(n - o, TOKENS + SCALES[-1][1])
+            if lot and held + part > TOKENS:
                 yield places, lot
                 places, lot, held = [], [], 0
             places.append((d, o))
             lot.append(part)
-            held += len(part)
+            held += part
     if lot:
         yield places, lot
 
 
 def found_in(docs: DataFrame, index: Broadcast[Index], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashed = index.value, Hasher()
+        own = index.value
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), [tokens(t) for t in batch["text"].to_pylist()]
+            ids, (folded, starts, ends, lengths) = batch["doc_id"].to_pylist(), words_of(batch["text"].to_pylist())
+            dims, first = dimensions(folded, starts, ends), np.concatenate(([0], np.cumsum(lengths))).tolist()
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for places, lot in segments(texts):
-                for i, k, s, e in own.search(lot, hashed):
+            for places, lot in segments(lengths.tolist()):
+                for i, k, s, e in own.search(np.array(lot), np.concatenate([dims[first[d] + o : first[d] + o + n] for (d, o), n in zip(places, lot, strict=True)])):
                     d, o = places[i]
-                    hit = own.check(texts[d], k, s + o, e + o)
+                    there = lambda s, e, f=first[d]: folded[starts[f + s] : ends[f + e - 1]].split()
+                    hit = own.check(there, int(lengths[d]), k, s + o, e + o)
                     if hit and hit[0] > best.get((d, k), (0,))[0]:
                         best[d, k] = hit
             rows = [(ids[d], own.ids[k], common, common / len(own.words[k]), s, e) for (d, k), (common, s, e) in best.items()]

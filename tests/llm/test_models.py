@@ -1,6 +1,7 @@
 """Toxicity, decontamination, pages and the pipeline."""
 
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -222,3 +223,66 @@ def test_toxicity_learns_from_every_label(spark):
     table = docs.select("doc_id", text.alias("text"), toxic.cast("int").alias("toxic")).localCheckpoint()
     model = toxicity.learn(table, table)
     assert model.score("zorblax") > toxicity.TOXIC and model.score("quexity") > toxicity.TOXIC and model.score("plain words") < toxicity.TOXIC
+
+
+def test_words_and_dimensions_of_a_batch_are_those_of_each_text():
+    r = random.Random(6)
+    letters = ["a", "B", "7", "é", "漢", "𝒳", " ", "  ", "\n", "\t", "-", ".", "_", "\x00", "\x1f", "\x7f", "\x85", "\u3000"]
+    texts = ["".join(r.choices(letters, k=r.randint(0, 200))) for _ in range(300)]
+    # none, blank ones, words as long as are handled together, and longer ones, also beyond a lot of words
+    texts += ["", " ", "\n\n", *("x" * n for n in (63, 64, 65, 1000)), "a " + "é" * 40 + " b", "w1 w2 " * 30_000, "", "end"]
+    texts = [t.encode() for t in texts]
+    plain, hashed = [contamination.tokens(t) for t in texts], contamination.Hasher()
+    folded, starts, ends, lengths = contamination.words_of(texts)
+    assert lengths.tolist() == [len(w) for w in plain]
+    assert [folded[s:e] for s, e in zip(starts, ends, strict=True)] == [w for t in plain for w in t]
+    assert contamination.dimensions(folded, starts, ends).tolist() == [hashed[w] for t in plain for w in t]
+    for few in ([], [b""], [b"", b" . "]):
+        *words, lengths = contamination.words_of(few)
+        assert len(contamination.dimensions(*words)) == 0 and lengths.tolist() == [0] * len(few)
+
+
+def test_dimensions_of_words_not_seen_before_are_found_together():
+    texts = [" ".join(f"{i * 7919 + j * 104_729:x}" for j in range(500)).encode() for i in range(200)]
+
+    def seconds(work):
+        t = time.process_time()
+        work()
+        return time.process_time() - t
+
+    plain = min(seconds(lambda: list(map(contamination.Hasher(), map(contamination.tokens, texts)))) for _ in range(3))
+    assert min(seconds(lambda: contamination.dimensions(*contamination.words_of(texts)[:3])) for _ in range(3)) < plain / 2
+
+
+def test_windows_near_an_item_are_those_found_one_by_one():
+    r = random.Random(9)
+    known = [b"w%d" % i for i in range(300)]
+    text = lambda n: r.choices(known, [1 / (3 + i) for i in range(300)], k=n)
+    items = [(k, b" ".join(text(n)).decode()) for k, n in enumerate((12, 20, 24, 30, 48, 60, 150))]
+    space = np.random.default_rng(1).normal(size=(contamination.DIMENSIONS, 8)).astype(np.float32)
+    index = contamination.Index(items, space)
+    index.__setstate__(index.__dict__)
+    texts = [text(n) for n in (0, 5, 31, 32, 33, 200, 0, 1000)]
+    texts += [text(40) + index.words[k] + text(50) for k in range(7)]
+    hashed = contamination.Hasher()
+    expected, maybe = set(), set()
+    for d, words in enumerate(texts):
+        for low, (longest, window, stride) in zip((0, 24, 48), contamination.SCALES, strict=True):
+            for s in range(0, max(1, -(-(len(words) - window) // stride) * stride + 1) if words else 0, stride):
+                there = words[s : s + window]
+                v = space[hashed(there)].sum(0)
+                for k, w in enumerate(index.words):
+                    q = [space[hashed(p)].sum(0) for p in contamination.parts(w) if low < len(p) <= longest]
+                    best = max((v @ x / np.linalg.norm(v) / np.linalg.norm(x) for x in q), default=-1)
+                    if best >= contamination.COSINE - 1e-4:
+                        maybe.add((d, k, s, s + len(there)))
+                        # which words are in the item, not how often
+                        if best >= contamination.COSINE + 1e-4 and sum(x in w for x in there) >= index.least[k]:
+                            expected.add((d, k, s, s + len(there)))
+    found = set(index.search(np.array([len(t) for t in texts]), hashed([w for t in texts for w in t])))
+    assert expected <= found <= maybe and {(8 + k, k) for k in range(7)} <= {(d, k) for d, k, _, _ in found}
+    # a block may have no item, or none with words
+    for few in ([], [(1, ".")]):
+        none = contamination.Index(few, space)
+        none.__setstate__(none.__dict__)
+        assert none.search(np.array([2, 0]), hashed([b"a", b"b"])) == []
