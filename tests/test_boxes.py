@@ -30,3 +30,35 @@ def test_equal_boxes_meet_a_point_once(spark):
     assert sorted((r.p, r.box, r.x1) for r in found.collect()) == [*(("a", i, 5.0) for i in range(300)), ("a", 300, 6.0), ("b", 300, 6.0), *(("d", i, 5.0) for i in range(300))]
     # what enters the join is the distinct boxes, with lists
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _nodes(plan):
+    """All nodes of a plan that ran."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    yield plan
+    for x in below:
+        yield from _nodes(x)
+
+
+def test_lists_of_boxes_are_not_copied(spark):
+    places = [(x, y) for x in (0.0, 2.5, 9.0) for y in (1.0, 7.5)]
+    boxes = spark.createDataFrame([(1, i, *places[i % 6], places[i % 6][0] + 5, places[i % 6][1] + 8) for i in range(240)], "g int, box int, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    points = spark.createDataFrame([(1, 3.0, 8.0), (1, 9.0, 1.0), (1, 14.0, 1.0)], "g int, x double, y double")
+    found = geometry.points_in_boxes(points, boxes, ["g"], 5.0, 8.0)
+    assert len(found.collect()) == 5 * 40
+    made = [n.metrics().get("numOutputRows").get().value() for n in _nodes(found._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Generate") and "sequence(" in n.simpleString(500)]
+    assert made == [6, 6]  # one row for each of the six distinct boxes after the cells of either axis
+
+
+def test_large_boxes_and_odd_points_meet_once(spark):
+    r = random.Random(5)
+    inf = float("inf")
+    boxes = [(g, i, x := r.randint(-20, 20) / 2, y := r.randint(-20, 20) / 2, x + r.randint(-2, 30) / 2, y + r.randint(0, 30) / 2, r.choice([None, "a", "b"])) for i in range(120) for g in (1, 2)]
+    points = [(r.randint(1, 2), i, r.randint(-30, 60) / 2, r.randint(-30, 60) / 2) for i in range(200)] + [(1, 200, -inf, 1.0), (1, 201, 1.0, inf), (2, 202, None, 1.0), (2, 203, inf, -inf)]
+    expected = sorted((b[1], b[0], p[1], b[6] or "") for b in boxes for p in points if p[0] == b[0] and p[2] is not None and b[2] <= p[2] < b[4] and b[3] <= p[3] < b[5])
+    b = spark.createDataFrame(boxes, "g int, box int, x0 double, y0 double, x1 double, y1 double, note string")
+    p = spark.createDataFrame(points, "g int, p int, x double, y double")
+    for width, height in ((4.0, 4.0), (1.5, 7.0), (40.0, 0.5)):
+        found = geometry.points_in_boxes(p, b, ["g"], width, height)
+        assert sorted((x.box, x.g, x.p, x.note or "") for x in found.collect()) == expected
